@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from lodestone.llm.bpe import op9_bpe
+from lodestone.llm.matroska import op5_matroska
 from lodestone.llm.mixing import op10_mix
+from lodestone.llm.quality import op4_quality
 
 QUERIES = {
+    "op4_quality": op4_quality,
+    "op5_matroska": op5_matroska,
     "op9_bpe": op9_bpe,
     "op10_mix": op10_mix,
 }
