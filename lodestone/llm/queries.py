@@ -6,12 +6,16 @@ from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.matroska import op5_matroska
 from lodestone.llm.mixing import op10_mix
 from lodestone.llm.quality import op4_quality
+from lodestone.llm import warc
 
 QUERIES = {
     "op4_quality": op4_quality,
     "op5_matroska": op5_matroska,
+    "op8_warc": warc.op8_warc,
     "op9_bpe": op9_bpe,
     "op10_mix": op10_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": warc.ORACLE,
+}
