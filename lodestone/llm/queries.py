@@ -6,6 +6,7 @@ from lodestone.llm import warc
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.matroska import op5_matroska
 from lodestone.llm.mixing import op10_mix
+from lodestone.llm.pii import op6_pii
 from lodestone.llm.quality import op4_quality
 from lodestone.llm.rules import op7_rules
 from lodestone.llm.urls import op3_urls
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_urls": op3_urls,
     "op4_quality": op4_quality,
     "op5_matroska": op5_matroska,
+    "op6_pii": op6_pii,
     "op7_rules": op7_rules,
     "op8_warc": warc.op8_warc,
     "op9_bpe": op9_bpe,

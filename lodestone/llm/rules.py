@@ -21,7 +21,7 @@ from lodestone.llm.shared import documents, stage
 
 WIDTH = math.log(1.02)
 #: Metric: how many quartile ranges beyond the middle half, and how far beyond it at least.
-FENCES = {"symbols": (6.0, 0.3), "dup_lines": (6.0, 0.3), "repeats": (6.0, 0.25), "word_length": (4.0, 1.5)}
+FENCES = {"symbols": (6.0, 0.3), "dup_lines": (6.0, 0.5), "repeats": (6.0, 0.4), "word_length": (4.0, 1.5)}
 LEAST = 50
 
 
