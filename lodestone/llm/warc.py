@@ -41,11 +41,11 @@ def plan(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str =
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"digest": F.sha2("body", 256), "n": F.octet_length("body").cast("long")})
     repeated = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").select("digest", "first")
-    return rows.join(repeated, "digest", "left")
+    return rows.join(repeated.hint("merge"), "digest", "left")
 
 
 def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, records_per_file: int = 8192) -> None:
-    """Write the rows as .warc files under path."""
+    """Write the rows as gzipped WARC files under path."""
     rows = plan(pages, id, url, payload, least)
     revisit = F.col("first").isNotNull() & (F.col("first") != F.col("id"))
     uri = F.when(F.octet_length("url") <= 32768, F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20"))
@@ -67,7 +67,7 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", pa
         F.lit("\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def heads(data: bytes) -> list[tuple[int, int, int, dict[str, str]]]:
@@ -145,9 +145,9 @@ def records(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
     reached = found.where("offset = 0").select("path", "offset")
     jump = found.where("leaves >= 0").select("path", "offset", "leaves")
     for k in range(int(last).bit_length()):
-        reached = stage(reached.unionByName(reached.join(jump, ["path", "offset"]).select("path", F.col("leaves").alias("offset"))).distinct(), f"warc-reached-{k}")
+        reached = stage(reached.unionByName(reached.join(jump.hint("merge"), ["path", "offset"]).select("path", F.col("leaves").alias("offset"))).distinct(), f"warc-reached-{k}")
         after = jump.select("path", F.col("offset").alias("leaves"), F.col("leaves").alias("then"))
-        jump = stage(jump.join(after, ["path", "leaves"]).select("path", "offset", F.col("then").alias("leaves")), f"warc-jump-{k}")
+        jump = stage(jump.join(after.hint("merge"), ["path", "leaves"]).select("path", "offset", F.col("then").alias("leaves")), f"warc-jump-{k}")
     entries = reached.select("path", F.expr(f"offset div {span}").alias("span_no"), F.col("offset").alias("entry"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,8 +159,8 @@ def records(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
         return pdf.loc[pdf["offset"].isin(real), ["path", "span_no", "offset"]]
 
     # a range's candidates: as many as `span` bytes can hold
-    chain = found.select("path", "span_no", "offset", "successor").join(entries, ["path", "span_no"]).groupBy("path", "span_no").applyInPandas(walk, "path string, span_no long, offset long")
-    return found.join(chain, ["path", "span_no", "offset"], "left_semi")
+    chain = found.select("path", "span_no", "offset", "successor").join(entries.hint("merge"), ["path", "span_no"]).groupBy("path", "span_no").applyInPandas(walk, "path string, span_no long, offset long")
+    return found.join(chain.hint("merge"), ["path", "span_no", "offset"], "left_semi")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
