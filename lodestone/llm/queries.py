@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import warc
+from lodestone.llm import jaccard, warc
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.matroska import op5_matroska
 from lodestone.llm.mixing import op10_mix
@@ -12,6 +12,7 @@ from lodestone.llm.rules import op7_rules
 from lodestone.llm.urls import op3_urls
 
 QUERIES = {
+    "op1_jaccard": jaccard.op1_jaccard,
     "op3_urls": op3_urls,
     "op4_quality": op4_quality,
     "op5_matroska": op5_matroska,
@@ -23,5 +24,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_jaccard": jaccard.ORACLE,
     "op8_warc": warc.ORACLE,
 }
