@@ -9,10 +9,12 @@ from lodestone.llm.mixing import op10_mix
 from lodestone.llm.pii import op6_pii
 from lodestone.llm.quality import op4_quality
 from lodestone.llm.rules import op7_rules
+from lodestone.llm.substrings import op2_substrings
 from lodestone.llm.urls import op3_urls
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
+    "op2_substrings": op2_substrings,
     "op3_urls": op3_urls,
     "op4_quality": op4_quality,
     "op5_matroska": op5_matroska,
