@@ -83,10 +83,25 @@ def schedule(spark: SparkSession, goals: dict, sizes: dict, block: int) -> DataF
     return ranked.join(before, ["__s", "__chunk"]).select("slot", "__s", (F.col("__r") - 1 + F.col("__before")).alias("rank"))
 
 
+def text_hash(id, text, seed: int = 7):
+    """What shuffles the documents of a source."""
+    return F.xxhash64(F.lit(seed), id, text)
+
+
+def repeat(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with every row as often as the mix takes it, to the nearest whole number; rows of size 0 are taken never."""
+    plan = mix(docs, id=id, text=text, **how).groupBy(F.col(id).alias("__id"), "text_hash").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
+    times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
+    plan = stage(plan.select("__id", F.col("text_hash").alias("__h"), times.alias("__times")).where("__times > 0"), "mix-times")
+    kept = docs.select(*(F.col(c) for c in docs.columns), text_hash(F.col(id), F.col(text)).alias("__h2"))
+    joined = kept.join(plan.hint("merge"), (F.col("__h2") == F.col("__h")) & kept[id].eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(kept[c] for c in docs.columns))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per row of docs: id, size, source_size, target (of its source), taken (words the mix takes, repeats counted)."""
+    """Per row of docs: id, size, source_size, target (of its source), taken (words the mix takes, repeats counted), text_hash."""
     spark = docs.sparkSession
-    base = stage(docs.select(F.col(id).alias("__id"), F.col(source).alias("__source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(id), F.col(text)).alias("__h")), "mix-sizes")
+    base = stage(docs.select(F.col(id).alias("__id"), F.col(source).alias("__source"), n_words(F.col(text)).alias("size"), text_hash(F.col(id), F.col(text), seed).alias("__h")), "mix-sizes")
     # one row for each source goes to the driver: as many as there are sources
     rows = base.groupBy("__source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     sizes, n_docs = {r["__source"]: r["n"] for r in rows}, sum(r["docs"] for r in rows)
@@ -96,7 +111,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     block = block_words(total)
     facts = spark.createDataFrame([(i, s, sizes[s], float(goals[s])) for i, s in enumerate(names)], "__s int, __name string, source_size long, target double")
     base = base.join(F.broadcast(facts), base["__source"].eqNullSafe(facts["__name"])).drop("__name", "__source")
-    empty = base.where("size = 0").select(F.col("__id").alias(id), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    empty = base.where("size = 0").select(F.col("__id").alias(id), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.col("__h").alias("text_hash"))
     buckets = 1 << max(0, (n_docs // 2048).bit_length())
     placed = _running(base.where("size > 0"), "__s", ["__h", "__id"], "size", "__at", buckets)
     # a stream runs twice at most; slots beyond that find no block
@@ -111,8 +126,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     got = pieces.select("__s", "__h", "__id", "__at", "__block", covered.alias("__words")).join(hits, ["__s", "__block"])
     got = got.groupBy("__s", "__at", "__id").agg(F.sum(F.col("__words") * F.col("__times")).alias("__taken"))
     out = placed.join(got.withColumnsRenamed({"__s": "__s2", "__at": "__at2", "__id": "__id2"}), (F.col("__s") == F.col("__s2")) & (F.col("__at") == F.col("__at2")), "left")
-    return out.select(F.col("__id").alias(id), "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
+    return out.select(F.col("__id").alias(id), "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"), F.col("__h").alias("text_hash")).unionByName(empty)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return mix(documents(spark, sf_dir)).drop("text_hash")
