@@ -9,12 +9,12 @@ all links of a group of copies:
    token, as packed blocks, where tokens of one node only are dropped. What comes back is the node's rarest repeated tokens.
    By the prefix-filter principle two linked nodes share a token within both prefixes in the order (frequency, hash);
    a node whose prefix has unique tokens only has no partner, and is done.
-3. Similar nodes are partitioned into groups: of the nodes of like size that share a prefix token the smallest is the pivot, and those
-   found to link with it are joined to its group. A group is connected, so nothing within it needs a test.
-4. The token-group matrix has the groups that hold each prefix token. A node queries it with its own prefix; for each group other than its
-   own that qualifies by size, blocks of up to BLOCK members are given to the query. The block's token union bounds the
-   overlap with any member; only where the bound reaches what the threshold demands are members compared.
-5. Links between groups are contracted to components by minimum labels with pointer jumping.
+3. Similar nodes are partitioned into groups: of the nodes of like size that share a prefix token the smallest is the pivot. Nodes
+   that link with pivots make connected groups, within which nothing needs a test; the others are put with their first pivot.
+4. The token-group matrix has the groups that hold each prefix token. A node queries it with its own prefix; for each group that
+   qualifies by size, but for its own connected one, the query is given blocks of up to BLOCK members. The block's token union bounds the
+   overlap with any member; only where the bound reaches what the threshold demands is the block's token-member matrix opened.
+5. Links are contracted to components, in rounds until what is left fits one task's union-find.
 
 Only (node, group) rows are made, never the pairs within a group. Groups with many queries are split by salting the queries.
 Null and empty texts have an empty set and link with nothing; rows that repeat a doc_id count as one document with several
@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, documents, shingles, stage, text_bytes, word_hashes, word_spans
+from lodestone.llm.shared import arrow_rows, chunks, documents, shingles, stage, text_bytes, word_hashes, word_spans
 
-SENT = 0.4
-BLOCK = 64
+SENT = 1.0
+BLOCK = 256
 QUERIES = 512
+#: Edges that one task joins to components.
+TASK_EDGES = 500_000
 #: Tokens that one partition gets to count.
 PART_TOKENS = 6_000_000
 _BITS = 40
@@ -162,87 +164,118 @@ def postings(rep: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def opened(cand: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """x, y: for each candidate (x, g) and block of the group's members (g, y) the first member that x links with, if any.
+    """x, y: for each candidate (x, g) and block of the group's members (g, y) every member but x that x links with; of
+    members whose link to each other is known (equal `known`) one is enough.
 
-    texts: id, text. Members of a block come first and are held; queries then pass one by one."""
+    members: g, y, known; texts: id, text. Members of a block come first and make its matrix: a row for each token of their
+    union, a column for each member. Queries then pass one by one; those whose overlap with the union cannot reach what
+    the threshold demands of any member do not open the block."""
     asked = cand.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     counted = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     shape = stage(asked.join(counted, "g"), "jaccard-shape")
-    left = cand.join(shape.hint("merge"), "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("x").alias("id"))
-    right = members.join(shape.hint("merge"), "g").select("g", F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("y").alias("id"))
+    left = cand.join(shape.hint("merge"), "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("x").alias("id"), F.lit(None).cast("long").alias("known"))
+    right = members.join(shape.hint("merge"), "g").select("g", F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("y").alias("id"), "known")
     key = ["g", "block", "salt"]
-    rows = left.unionByName(right).join(texts.hint("merge"), "id").select(*key, "role", "id", "text").repartition(*key).sortWithinPartitions(*key, "role", "id")
+    rows = left.unionByName(right).join(texts.hint("merge"), "id").select(*key, "role", "id", "known", "text").repartition(*key).sortWithinPartitions(*key, "role", "id")
 
     def run(batches):
-        now, ids, sets, union = None, [], [], None
+        now, ids, knowns, sets, union = None, [], [], [], None
         for b in batches:
             xs, ys = [], []
-            keys = list(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
-            for (g, block, salt, role, i), t in zip(keys, token_sets(b.column(5), width), strict=True):
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(6)), strict=True))
+            for (g, block, salt, role, i, known), t in zip(keys, token_sets(b.column(6), width), strict=True):
                 if (g, block, salt) != now:
-                    now, ids, sets, union = (g, block, salt), [], [], None
+                    now, ids, knowns, sets, union = (g, block, salt), [], [], [], None
                 if not role:
                     ids.append(i)
+                    knowns.append(known)
                     sets.append(t)
                     continue
                 if not sets:
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
-                if den * overlap(t, union) < num * len(t):
+                    flat = np.concatenate(sets)
+                    union, at = np.unique(flat, return_inverse=True)
+                    matrix = np.zeros((len(union), len(sets)), np.uint8)
+                    matrix[at, np.repeat(np.arange(len(sets)), [len(s) for s in sets])] = 1
+                    lengths, names = np.array([len(s) for s in sets]), np.array(ids)
+                place = np.searchsorted(union, t)
+                place[place == len(union)] = 0
+                place = place[union[place] == t]
+                if den * len(place) < num * len(t):
                     continue
-                for y, other in zip(ids, sets, strict=True):
-                    small, large = sorted((len(t), len(other)))
-                    if y != i and den * small >= num * large:
-                        common = overlap(t, other)
-                        if den * common >= num * (len(t) + len(other) - common):
-                            xs.append(i)
-                            ys.append(y)
-                            break
+                common = matrix[place].sum(axis=0, dtype=np.int64)
+                linked = np.flatnonzero((den * common >= num * (len(t) + lengths - common)) & (names != i))
+                seen = set()
+                for m in linked.tolist():
+                    if knowns[m] not in seen:
+                        seen.add(knowns[m])
+                        xs.append(i)
+                        ys.append(ids[m])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
     return rows.mapInArrow(run, "x long, y long")
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays of distinct numbers."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
+def forest(batches):
+    """node, to (the smallest node of its component) of one task's edges (a, b), by union-find."""
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while (p := parent.setdefault(v, v)) != v:
+            parent[v] = parent[p]
+            v = p
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for lo in range(0, len(nodes), 100_000):
+        part = nodes[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(v) for v in part], pa.int64())], names=["node", "to"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the edges (a, b).
 
-    Each round every node goes to the neighbour, or itself, that a fresh hash puts first, and edges between the nodes that remain
-    are kept: a constant share of the nodes goes away a round."""
+    As long as the edges are too many for one task, each round every node goes to the neighbour, or itself, that a fresh hash puts
+    first, and edges between the nodes that remain are kept: a constant share of the nodes goes away a round."""
     pair = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
     e = stage(pair(edges, "a", "b"), "components-edges")
     maps, turn = None, 0
-    while not e.isEmpty():
+    while e.count() > TASK_EDGES:
         turn += 1
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("best"))
         to = stage(best.select(F.col("a").alias("node"), F.least("best", rank("a"))["v"].alias("to")), "components-step")
         step = to.hint("merge")
-        if maps is None:
-            maps = to.withColumnRenamed("to", "c")
-        else:
-            maps = stage(maps.join(step.withColumnRenamed("node", "c"), "c", "left").select("node", F.coalesce("to", "c").alias("c")), "components-maps")
+        maps = to if maps is None else stage(_moved(maps, to), "components-maps")
         e = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         e = stage(pair(e, "ta", "tb"), "components-edges")
+    last = stage(e.coalesce(1).mapInArrow(forest, "node long, to long"), "components-forest")
     if maps is None:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
-    lowest = stage(maps.groupBy("c").agg(F.min("node").alias("component")), "components-lowest")
-    return stage(maps.join(lowest.hint("merge"), "c").select("node", "component"), "components")
+        return last.withColumnRenamed("to", "component")
+    maps = stage(_moved(maps, last), "components-maps")
+    lowest = stage(maps.groupBy("to").agg(F.min("node").alias("component")), "components-lowest")
+    return stage(maps.join(lowest.hint("merge"), "to").select("node", "component"), "components")
+
+
+def _moved(maps: DataFrame, step: DataFrame) -> DataFrame:
+    """maps (node, to) with one more step taken; nodes of the step only are none of maps' nodes' targets but stay themselves."""
+    return maps.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+
+
+def cluster(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """The components of docs, see components()."""
+    with arrow_rows(docs.sparkSession, 2000):
+        return components(docs, *args, **kwargs)
 
 
-def cluster(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sent: float = SENT) -> DataFrame:
+def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sent: float = SENT) -> DataFrame:
     """id, n_shingles, component (smallest id reachable by links) of every row of docs."""
     spark = docs.sparkSession
     base = stage(sizes(docs, width, id, text), "jaccard-sizes")
@@ -260,15 +293,20 @@ def cluster(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id:
     pivots = sized.where("main").groupBy("token", "like").agg(F.min(F.struct("n", "x")).alias("p")).select("token", "like", F.col("p.x").alias("g"), F.col("p.n").alias("pn"))
     near = (F.col("n") * num <= F.col("pn") * den) & (F.col("pn") * num <= F.col("n") * den)
     first = stage(sized.join(pivots.hint("merge"), ["token", "like"]).where((F.col("x") != F.col("g")) & near).select("x", "g").distinct(), "jaccard-pivots")
-    found = stage(opened(first, first.select("g", F.col("g").alias("y")).distinct(), texts, width, num, den), "jaccard-links")
+    found = stage(opened(first, first.select("g", F.col("g").alias("y"), F.col("g").alias("known")).distinct(), texts, width, num, den), "jaccard-links")
     groups = connected(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    # query: the token-group matrix, for groups other than a node's own
-    grouped = posts.join(groups.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-    grouped = stage(grouped, "jaccard-grouped")
-    matrix = grouped.where("main").groupBy("token", F.col("c").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("g") != F.col("c")) & (F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)
-    cand = stage(grouped.join(matrix.hint("merge"), "token").where(fits).select("x", "g").distinct(), "jaccard-candidates")
-    members = grouped.select(F.col("c").alias("g"), F.col("x").alias("y")).distinct()
+    # a node's group is its connected one; one that links with no pivot is put with the others of its first pivot
+    mine = first.groupBy("x").agg(F.min("g").alias("pivot"))
+    grouped = posts.join(groups.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").join(mine.hint("merge"), "x", "left")
+    grouped = grouped.select("token", "x", "n", "main", F.coalesce("component", "x").alias("known"), F.when(F.col("component").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("component").alias("v"))).otherwise(F.struct(F.lit(0).alias("kind"), F.coalesce("pivot", "x").alias("v"))).alias("g"))
+    grouped = stage(grouped.withColumn("own", F.when(F.col("g.kind") == 1, F.col("g.v"))).withColumn("g", F.xxhash64("g.kind", "g.v")), "jaccard-grouped")
+    # query: the token-group matrix, but for a node's own connected group
+    matrix = grouped.where("main").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("own").alias("theirs"), F.count("*").alias("many"), F.max("x").alias("one"))
+    asks = grouped.select("token", "x", "n", "own", F.col("g").alias("mine"))
+    other = F.coalesce(F.col("theirs") != F.col("own"), F.lit(True)) & ((F.col("many") > 1) | (F.col("one") != F.col("x")))
+    fits = other & (F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)
+    cand = stage(asks.join(matrix.hint("merge"), "token").where(fits).select("x", "g").distinct(), "jaccard-candidates")
+    members = grouped.select("g", F.col("x").alias("y"), "known").distinct()
     more = stage(opened(cand, members, texts, width, num, den), "jaccard-more")
     edges = found.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     # an id with several texts is one document

@@ -74,7 +74,9 @@ def test_empty(spark):
     assert jaccard.cluster(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [5, 1000])
+def test_components(spark, task, monkeypatch):
+    monkeypatch.setattr(jaccard, "TASK_EDGES", task)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
     got = {r["node"]: r["component"] for r in jaccard.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
