@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.shared import chunks, documents, mix, text_bytes, word_hashes, word_spans
 
-BUCKETS, DIM, MAX_ROWS, EPOCHS = 1 << 17, 8, 6000, 12
+BUCKETS, DIM, MAX_ROWS, EPOCHS = 1 << 17, 8, 4000, 12
 THRESHOLD = 0.3
 
 
@@ -88,7 +88,8 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
         order = np.argsort(rows, kind="stable")
         for bag in np.split(ids[order], np.cumsum(np.bincount(rows, minlength=hi - lo))[:-1]):
             u, c = np.unique(bag, return_counts=True)
-            bags.append((u, (c / max(1, len(bag))).astype(np.float32)))
+            bags.append((u.astype(np.int32), (c / max(1, len(bag))).astype(np.float32)))
+    del data, texts
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     w, b = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -132,7 +133,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     ids = ids.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows)
     rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select("__id", "text", "__label").limit(4 * max_rows).collect()
     rows.sort(key=lambda r: (r[0], r[2], r[1] or ""))
-    return [r[1] or "" for r in rows], [r[2] for r in rows]
+    out = [r[1] or "" for r in rows], [r[2] for r in rows]
+    # the JVM keeps what it has sent until it collects its garbage
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
