@@ -127,16 +127,11 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> tuple[list[str], list[int]]:
-    """The labelled texts to learn from: rows whose crc32 of the id is no multiple of five, at most max_rows of them in the order of a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+    """id, text, label of the texts to learn from: rows whose crc32 of the id is no multiple of five, at most max_rows labels in the order of a hash of the id."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     ids = ids.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows)
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select("__id", "text", "__label").limit(4 * max_rows).collect()
-    rows.sort(key=lambda r: (r[0], r[2], r[1] or ""))
-    out = [r[1] or "" for r in rows], [r[2] for r in rows]
-    # the JVM keeps what it has sent until it collects its garbage
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select(F.col("__id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("__label").alias("label")).limit(4 * max_rows)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -157,7 +152,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*sample(docs, labels))
+    """The model of a corpus: one task gets the bounded sample and trains; the driver only gets the table of numbers."""
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        m = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([m.table.tobytes()], pa.binary()), *(pa.array([float(v)], pa.float64()) for v in (m.bias, m.slope, m.offset))], names=["table", "bias", "slope", "offset"])
+
+    got = sample(docs, labels).repartition(1).mapInArrow(run, "table binary, bias double, slope double, offset double").collect()
+    if not got:
+        return train([], [])
+    return Model(np.frombuffer(bytes(got[0]["table"]), np.float32), got[0]["bias"], got[0]["slope"], got[0]["offset"])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def chunks(offs: np.ndarray, most: int = 2 << 20):
+def chunks(offs: np.ndarray, most: int = 1 << 19):
     """Ranges of rows of about `most` bytes each, so that working arrays stay bounded; a longer row is alone."""
     i, n = 0, len(offs) - 1
     while i < n:
