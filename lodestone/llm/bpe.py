@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import documents
+from lodestone.llm.shared import documents, lean, small_batches
 
 #: Letters only: here one pre-token holds the whole run, and the characters normalise one by one.
 _PLAIN = re.compile(r"[A-Za-z]*\Z")
@@ -144,7 +144,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                     names=[*kept, *what],
                 )
 
-    return source.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return source.mapInArrow(lean(run), schema)
 
 
 def tokenizer_path() -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import arrow_rows, chunks, documents, shingles, stage, text_bytes, word_hashes, word_spans
+from lodestone.llm.shared import chunks, documents, lean, release, shingles, small_batches, stage, text_bytes, word_hashes, word_spans
 
 SENT = 1.0
 BLOCK = 256
@@ -73,7 +73,7 @@ def sizes(docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
             got = [(len(t), node_of(t) if len(t) else None) for t in token_sets(b.column(1), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["id", "n", "node"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, node long")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(lean(run), "id long, n long, node long")
 
 
 def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text: str, sent: float) -> DataFrame:
@@ -143,9 +143,10 @@ def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text:
         run = np.diff(np.concatenate([first, [len(key)]]))
         df = np.repeat(run, run)
         keep = df > 1
+        release()
         return pa.table({"node": node[keep], "n": n[keep].astype(np.int32), "low": low[keep].astype(np.int32), "token": key[keep], "df": df[keep].astype(np.int32), "high": high[keep].astype(np.int32)})
 
-    packed = docs.select(F.col(text).alias("t")).mapInArrow(pack, "part int, info binary, count binary, key binary")
+    packed = docs.select(F.col(text).alias("t")).mapInArrow(lean(pack), "part int, info binary, count binary, key binary")
     return packed.groupBy("part").applyInArrow(count, "node long, n int, low int, token long, df int, high int")
 
 
@@ -214,7 +215,7 @@ def opened(cand: DataFrame, members: DataFrame, texts: DataFrame, width: int, nu
                         ys.append(ids[m])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    return rows.mapInArrow(run, "x long, y long")
+    return rows.mapInArrow(lean(run), "x long, y long")
 
 
 def forest(batches):
@@ -256,7 +257,7 @@ def connected(edges: DataFrame) -> DataFrame:
         maps = to if maps is None else stage(_moved(maps, to), "components-maps")
         e = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         e = stage(pair(e, "ta", "tb"), "components-edges")
-    last = stage(e.coalesce(1).mapInArrow(forest, "node long, to long"), "components-forest")
+    last = stage(e.coalesce(1).mapInArrow(lean(forest), "node long, to long"), "components-forest")
     if maps is None:
         return last.withColumnRenamed("to", "component")
     maps = stage(_moved(maps, last), "components-maps")
@@ -269,15 +270,10 @@ def _moved(maps: DataFrame, step: DataFrame) -> DataFrame:
     return maps.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
 
 
-def cluster(docs: DataFrame, *args, **kwargs) -> DataFrame:
-    """The components of docs, see components()."""
-    with arrow_rows(docs.sparkSession, 2000):
-        return components(docs, *args, **kwargs)
-
-
-def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sent: float = SENT) -> DataFrame:
+def cluster(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sent: float = SENT) -> DataFrame:
     """id, n_shingles, component (smallest id reachable by links) of every row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = stage(sizes(docs, width, id, text), "jaccard-sizes")
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * sent / PART_TOKENS))

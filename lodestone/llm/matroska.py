@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import documents
+from lodestone.llm.shared import documents, lean, small_batches
 
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -287,7 +287,8 @@ def media_column(docs: DataFrame, text: str = "text", media: str = "media", n_by
                 got = [padded(x) for x in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array([g[1] for g in got], pa.int64()), pa.array([write(g[0]) for g in got], pa.binary())], names=[*kept, n_bytes, media])
 
-    return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*kept, docs[text].alias("__text")).mapInArrow(lean(run), schema)
 
 
 PACKETS = "array<struct<track:int,timestamp_ns:bigint,start:bigint,size:bigint,keyframe:boolean,lacing:int>>"
@@ -315,7 +316,7 @@ def packets(files: DataFrame, media: str = "media") -> DataFrame:
                         errors.append(str(e))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(tables, kind), pa.array(errors, pa.string())], names=[*kept, "packets", "error"])
 
-    return files.select(*kept, files[media].alias("__media")).mapInArrow(run, schema)
+    return files.select(*kept, files[media].alias("__media")).mapInArrow(lean(run), schema)
 
 
 def digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,7 +339,8 @@ def digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
                 got = list(zip(*map(row, part.column(1).to_pylist()), strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(v), k) for v, k in zip(got, (long, long, string, long, long, string, string), strict=True))], names=schema.names)
 
-    return docs.select(id, docs[text].alias("__text")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(id, docs[text].alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

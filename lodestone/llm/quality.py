@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import chunks, documents, mix, text_bytes, word_hashes, word_spans
+from lodestone.llm.shared import chunks, documents, lean, mix, small_batches, text_bytes, word_hashes, word_spans
 
 BUCKETS, DIM, MAX_ROWS, EPOCHS = 1 << 17, 8, 4000, 12
 THRESHOLD = 0.3
@@ -148,7 +148,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(got, pa.float64())], names=[*kept, name])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())])
-    return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*kept, docs[text].alias("__text")).mapInArrow(lean(run), schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
@@ -159,7 +160,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
         m = train([r[1] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([m.table.tobytes()], pa.binary()), *(pa.array([float(v)], pa.float64()) for v in (m.bias, m.slope, m.offset))], names=["table", "bias", "slope", "offset"])
 
-    got = sample(docs, labels).repartition(1).mapInArrow(run, "table binary, bias double, slope double, offset double").collect()
+    small_batches(docs.sparkSession)
+    got = sample(docs, labels).repartition(1).mapInArrow(lean(run), "table binary, bias double, slope double, offset double").collect()
     if not got:
         return train([], [])
     return Model(np.frombuffer(bytes(got[0]["table"]), np.float32), got[0]["bias"], got[0]["slope"], got[0]["offset"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import shared_dir, stage
+from lodestone.llm.shared import lean, shared_dir, stage
 
 LEAST = 100  # bytes of payload from which on equal payloads are stored once
 SPAN = 1 << 20
@@ -135,7 +135,7 @@ def candidates(files: DataFrame, span: int = SPAN) -> DataFrame:
                 for lo in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(zip(*rows[lo : lo + 2000], strict=True), kinds, strict=True)], names=names)
 
-    return files.select("path", "content").mapInArrow(run, CANDIDATES)
+    return files.select("path", "content").mapInArrow(lean(run), CANDIDATES)
 
 
 def records(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
