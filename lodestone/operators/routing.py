@@ -84,22 +84,39 @@ class KnowledgeBase:
         self.idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
         self.rarest = math.log(1 + (n + 0.5) / 0.5)
 
-    def bm25(self, i: int, words: Column) -> Column:
+    @property
+    def vocabulary(self) -> list[str]:
+        return sorted(self.idf)
+
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        """rows with __words as what the scores need: the words that any department has, the number of different words, and the length
+        of the vector of word counts."""
+        none = F.array().cast("array<string>")
+        known = F.filter("__words", lambda w: w.isin(*self.vocabulary)) if self.idf else none
+        zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+        def step(acc, w):  # c equal words in a row add 1 + 3 + ... = c squared
+            run = F.when(acc["last"] == w, acc["run"] + 1).otherwise(F.lit(1.0))
+            return F.struct(w.alias("last"), run.alias("run"), (acc["total"] + 2 * run - 1).alias("total"))
+
+        norm = F.sqrt(F.aggregate(F.sort_array("__words"), zero, step, lambda acc: acc["total"]))
+        return rows.withColumns({"__hits": known, "__different": F.size(F.array_distinct("__words")), "__norm": norm})
+
+    def bm25(self, i: int) -> Column:
         """A text's score for a department as a share of what its different words could score at most."""
         dl = self.lengths[i]
         gain = {t: self.idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / (self.average or 1))) for t, f in self.counts[i].items()}
-        raw = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(_lookup(gain, w), F.lit(0.0)))
-        cap = F.aggregate(F.array_distinct(words), F.lit(0.0), lambda a, w: a + F.coalesce(_lookup(self.idf, w), F.lit(self.rarest)))
-        return F.when(F.size(words) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / F.greatest(cap, F.lit(1e-6))))).otherwise(0.0)
+        raw = F.aggregate("__hits", F.lit(0.0), lambda a, w: a + F.coalesce(_lookup(gain, w), F.lit(0.0)))
+        distinct = F.array_distinct("__hits")
+        cap = self.rarest * (F.col("__different") - F.size(distinct)) + F.aggregate(distinct, F.lit(0.0), lambda a, w: a + _lookup(self.idf, w))
+        return F.when(F.col("__different") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / F.greatest(cap, F.lit(1e-6))))).otherwise(0.0)
 
-    def semantic(self, i: int, words: Column) -> Column:
+    def semantic(self, i: int) -> Column:
         """Cosine of the word counts; the stand-in for a model's similarity."""
         c = {t: float(f) for t, f in self.counts[i].items()}
         norm = math.sqrt(sum(f * f for f in c.values()))
-        dot = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(_lookup(c, w), F.lit(0.0)))
-        distinct = F.array_distinct(words)
-        own = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter(words, lambda v: v == w)).cast("double"), F.lit(2.0))))
-        return F.when((F.size(words) > 0) & F.lit(norm > 0), dot / (own * norm)).otherwise(0.0)
+        dot = F.aggregate("__hits", F.lit(0.0), lambda a, w: a + F.coalesce(_lookup(c, w), F.lit(0.0)))
+        return F.when((F.col("__norm") > 0) & F.lit(norm > 0), dot / (F.col("__norm") * norm)).otherwise(0.0)
 
 
 def _lookup(table: dict[str, float], key: Column) -> Column:
@@ -121,10 +138,13 @@ def analysed(states: DataFrame) -> DataFrame:
 
 def intents(states: DataFrame, kb: KnowledgeBase) -> DataFrame:
     """states with label, focus (text to route) and focus_topic: the whole analysis, and up to two subtopics that point to another department."""
-    quick = lambda c: _best([share(d.keywords + d.topics, _low(c), routing_tokens(c)) for d in kb.departments], [d.name for d in kb.departments])
+    quick = lambda low, words: _best([share(d.keywords + d.topics, low, words) for d in kb.departments], [d.name for d in kb.departments])
     whole = F.struct(F.lit("primary").alias("label"), F.col("analysis").alias("focus"), F.col("topic").alias("focus_topic"))
-    base = states.withColumn("__main", quick(F.col("analysis")))
-    subs = F.transform(F.coalesce("subtopics", F.array().cast("array<string>")), lambda s: F.struct(s.alias("s"), quick(s).alias("d")))
+    # words are cut once, in a step of their own, and not once for every phrase
+    own = F.transform(F.coalesce("subtopics", F.array().cast("array<string>")), lambda s: F.struct(s.alias("s"), _low(s).alias("l"), routing_tokens(s).alias("w")))
+    base = states.withColumns({"__low": _low(F.col("analysis")), "__words": routing_tokens(F.col("analysis")), "__subs": own})
+    base = base.withColumn("__main", quick(F.col("__low"), F.col("__words")))
+    subs = F.transform("__subs", lambda x: F.struct(x["s"].alias("s"), quick(x["l"], x["w"]).alias("d")))
     other = F.slice(F.filter(subs, lambda x: x["d"].isNotNull() & (F.col("__main").isNull() | (x["d"] != F.col("__main")))), 1, INTENTS - 1)
     more = F.transform(other, lambda x: F.struct(F.concat(F.lit("secondary:"), x["s"]).alias("label"), x["s"].alias("focus"), x["s"].alias("focus_topic")))
     return base.withColumn("__i", F.explode(F.concat(F.array(whole), more))).select(*states.columns, "__i.label", "__i.focus", "__i.focus_topic")
@@ -140,9 +160,8 @@ def _best(scores: list[Column], names: list[str], least: float = 0.0) -> Column:
 def signals(kb: KnowledgeBase, i: int, llm: Column | None = None) -> dict[str, Column]:
     """The signals of department i for rows of intents()."""
     d = kb.departments[i]
-    text, words = _low(F.col("focus")), F.col("__words")
-    hay = _low(F.concat_ws(" ", F.nullif(F.col("focus"), F.lit("")), F.nullif(F.col("focus_topic"), F.lit(""))))
-    hay_words = F.col("__hay")
+    text, words = F.col("__low"), F.col("__words")
+    hay, hay_words = F.col("__haylow"), F.col("__hay")
     inst, recipient = _low(F.col("institution")), _low(F.col("recipient"))
     within = lambda s: F.lit(s.replace("İ", "i").lower())
     held = (recipient != "") & reduce(lambda a, b: a | b, [within(s).contains(recipient) for s in (d.name, d.unit, d.office)])
@@ -158,7 +177,7 @@ def signals(kb: KnowledgeBase, i: int, llm: Column | None = None) -> dict[str, C
     met = F.when(F.size(exact) > 0, F.size(exact)).otherwise(F.size(near))
     ratio = lambda n, arr: F.when(F.size(arr) > 0, n / F.size(arr)).otherwise(0.0)
     return {
-        "rule": share(d.rules, hay, hay_words), "keyword": share(d.keywords + d.topics, text, words), "bm25": kb.bm25(i, words), "semantic": kb.semantic(i, words), "metadata": points / 3.0,
+        "rule": share(d.rules, hay, hay_words), "keyword": share(d.keywords + d.topics, text, words), "bm25": kb.bm25(i), "semantic": kb.semantic(i), "metadata": points / 3.0,
         "legal": ratio(F.size(fits), refs), "entity": F.least(F.lit(1.0), ratio(met, mine)), "llm": llm if llm is not None else F.lit(0.0),
     }
 
@@ -175,11 +194,13 @@ def candidates(intent: DataFrame, kb: KnowledgeBase, use_llm: bool = False) -> D
     """intent rows with ranked: array of structs (total, department, id, rejected, reason, signals), best first, of the CANDIDATES
     departments that a cheap first score prefers (those at FLOOR or above, or all if none is). The first use of costly scores is after that cut only in meaning: all are
     expressions over the same row."""
-    rows = intent.withColumns({"__words": routing_tokens(F.col("focus")), "__hay": routing_tokens(F.concat_ws(" ", F.nullif(F.col("focus"), F.lit("")), F.nullif(F.col("focus_topic"), F.lit(""))))})
+    both = F.concat_ws(" ", F.nullif(F.col("focus"), F.lit("")), F.nullif(F.col("focus_topic"), F.lit("")))
+    rows = intent.withColumns({"__low": _low(F.col("focus")), "__words": routing_tokens(F.col("focus")), "__haylow": _low(both), "__hay": routing_tokens(both)})
     names = list(WEIGHTS)
+    rows = kb.prepared(rows)
     rows = rows.withColumn("__s", F.array(*(F.struct(*(c.cast("double").alias(k) for k, c in signals(kb, i).items())) for i in range(len(kb.departments)))))
     rows = rows.withColumn("__w", weights(use_llm))
-    hay = _low(F.concat_ws(" ", F.nullif(F.col("focus"), F.lit("")), F.nullif(F.col("focus_topic"), F.lit(""))))
+    hay = F.col("__haylow")
     made = []
     for i, d in enumerate(kb.departments):
         s = F.get("__s", F.lit(i))
@@ -195,14 +216,20 @@ def candidates(intent: DataFrame, kb: KnowledgeBase, use_llm: bool = False) -> D
     pool = F.when(F.size(passed) > 0, passed).otherwise(F.col("__c"))
     short = F.slice(F.reverse(F.array_sort(F.transform(pool, lambda c: F.struct(c["first"].alias("k"), c["place"].alias("p"), c.alias("c"))))), 1, CANDIDATES)
     ranked = F.transform(F.reverse(F.array_sort(F.transform(short, lambda x: F.struct((~x["c"]["rejected"]).alias("r"), x["c"]["total"].alias("t"), x["k"].alias("k"), x["p"].alias("p"), x["c"].alias("c"))))), lambda x: x["c"])
-    return rows.withColumn("ranked", ranked).drop("__words", "__hay", "__s", "__w", "__c")
+    return rows.withColumn("ranked", ranked).drop("__low", "__hits", "__different", "__norm", "__words", "__haylow", "__hay", "__s", "__w", "__c")
+
+
+def heard(rows: DataFrame) -> DataFrame:
+    """rows with what conflicts() looks at: the words of intent and draft, and of the classification's topic."""
+    said = F.concat_ws(" ", F.nullif(F.col("intent"), F.lit("")), F.nullif(F.col("writing_output"), F.lit("")), F.nullif(F.col("analysis_summary"), F.lit("")))
+    topic = F.col("classification_topic")
+    return rows.withColumns({"__said": _low(said), "__saidwords": routing_tokens(said), "__topic": _low(topic), "__topicwords": routing_tokens(topic)})
 
 
 def conflicts(kb: KnowledgeBase, legal: str = "Hukuk Müşavirliği") -> Column:
-    """What speaks against the first candidate: legal wording in intent or draft, or a topic that classification gave."""
+    """What speaks against the first candidate: legal wording in intent or draft, or a topic that classification gave. For rows of heard()."""
     top = F.get("ranked", F.lit(0))
-    said = F.concat_ws(" ", F.nullif(F.col("intent"), F.lit("")), F.nullif(F.col("writing_output"), F.lit("")), F.nullif(F.col("analysis_summary"), F.lit("")))
-    low, words = _low(said), routing_tokens(said)
+    said, low, words = F.col("__said"), F.col("__said"), F.col("__saidwords")
     dept = next((d for d in kb.departments if d.name == legal), None)
     out = []
     if dept:
@@ -210,7 +237,7 @@ def conflicts(kb: KnowledgeBase, legal: str = "Hukuk Müşavirliği") -> Column:
         theirs = reduce(lambda rest, d: F.when(top["id"] == d.id, share(d.keywords, low, words)).otherwise(rest), kb.departments, F.lit(0.0))
         out.append(F.when((said != "") & (top["department"] != legal) & (mine >= 0.34) & (mine > theirs + 0.15), F.concat(F.lit(f"legal signals point to {legal}, not to "), top["department"])))
     topic = F.col("classification_topic")
-    scores = [share(d.topics, _low(topic), routing_tokens(topic)) for d in kb.departments]
+    scores = [share(d.topics, F.col("__topic"), F.col("__topicwords")) for d in kb.departments]
     handled = reduce(lambda rest, d: F.when(top["id"] == d.id, topic.isin(*d.topics) if d.topics else F.lit(False)).otherwise(rest), kb.departments, F.lit(False))
     named = F.when(F.greatest(*scores) >= 0.5, _best(scores, [d.name for d in kb.departments])) if len(scores) > 1 else F.lit(None).cast("string")
     out.append(F.when(F.coalesce(topic != "", F.lit(False)) & ~handled & named.isNotNull() & (named != top["department"]), F.concat(F.lit("classification topic points to "), named, F.lit(", not to "), top["department"])))
@@ -251,7 +278,7 @@ def route(states: DataFrame, kb: KnowledgeBase, use_llm: bool = False) -> DataFr
     for name, kind in (("writing_output", "string"), ("analysis_summary", "string"), ("classification_topic", "string"), ("document_type", "string")):
         if name not in states.columns:
             states = states.withColumn(name, F.lit(None).cast(kind))
-    rows = candidates(intents(analysed(states), kb), kb, use_llm)
+    rows = heard(candidates(intents(analysed(states), kb), kb, use_llm))
     top = F.get("ranked", F.lit(0))
     by = lambda f: reduce(lambda rest, d: F.when(top["id"] == d.id, F.lit(f(d))).otherwise(rest), kb.departments, F.lit(None).cast("string"))
     empty = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in SOFT)))
