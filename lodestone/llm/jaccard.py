@@ -78,7 +78,7 @@ def sizes(docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
 
 def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text: str, sent: float) -> DataFrame:
     """node, n, low (tokens sent that are below the cut), token, df, high: the sent tokens that several nodes have sent."""
-    cut = np.uint64(min(int(sent * 2.0**64), 2**64 - 1))
+    cut = np.uint64(int(sent * 2.0**64)) if sent < 1 else None
 
     def pack(batches):
         seen: set[int] = set()
@@ -91,7 +91,7 @@ def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(node)
-                    low = int(np.searchsorted(t, cut))
+                    low = len(t) if cut is None else int(np.searchsorted(t, cut))
                     nodes.append(node)
                     ns.append(len(t))
                     lows.append(low)
@@ -100,7 +100,7 @@ def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text:
                 continue
             flat = np.concatenate(toks)
             row = np.repeat(np.arange(len(toks), dtype=np.int32), [len(t) for t in toks])
-            high = (flat >= cut).astype(np.uint8)
+            high = np.zeros(len(flat), np.uint8) if cut is None else (flat >= cut).astype(np.uint8)
             key = flat & np.uint64((1 << _BITS) - 1)
             part = (key % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
@@ -115,7 +115,9 @@ def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text:
                     out["part"].append(p)
                     out["info"].append(info[:, mine].astype("<i8")[0].tobytes() + info[1:, mine].astype("<i4").tobytes())
                     out["count"].append(count.astype("<u2" if count.max() < 65536 else "<u4").tobytes())
-                    packed = np.concatenate([key[a:z, None].view(np.uint8).reshape(-1, 8)[:, : _BITS // 8], high[a:z, None]], axis=1)
+                    packed = key[a:z, None].view(np.uint8).reshape(-1, 8)[:, : _BITS // 8]
+                    if sent < 1:  # else all tokens are below the cut
+                        packed = np.concatenate([packed, high[a:z, None]], axis=1)
                     out["key"].append(np.ascontiguousarray(packed).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("info", "count", "key"))], names=list(out))
 
@@ -128,11 +130,11 @@ def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text:
             small = np.frombuffer(info, "<i4", 2 * m, 8 * m)
             ns.append(np.repeat(small[:m], c))
             lows.append(np.repeat(small[m:], c))
-            k = np.frombuffer(key, np.uint8).reshape(-1, _BITS // 8 + 1)
+            k = np.frombuffer(key, np.uint8).reshape(int(c.sum()), -1)
             wide = np.zeros((len(k), 8), np.uint8)
-            wide[:, : _BITS // 8] = k[:, :-1]
+            wide[:, : _BITS // 8] = k[:, : _BITS // 8]
             keys.append(wide.view("<i8").ravel())
-            highs.append(k[:, -1])
+            highs.append(k[:, -1] if sent < 1 else np.zeros(len(k), np.uint8))
         node, n, low, key, high = map(np.concatenate, (nodes, ns, lows, keys, highs))
         order = np.lexsort((node, key))
         node, n, low, key, high = node[order], n[order], low[order], key[order], high[order]
@@ -142,7 +144,8 @@ def repeated(docs: DataFrame, width: int, num: int, den: int, parts: int, text:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         run = np.diff(np.concatenate([first, [len(key)]]))
         df = np.repeat(run, run)
-        keep = df > 1
+        keep = np.flatnonzero(df > 1)
+        keep = keep[np.argsort(node[keep], kind="stable")]  # a node's rows together: they compress better
         release()
         return pa.table({"node": node[keep], "n": n[keep].astype(np.int32), "low": low[keep].astype(np.int32), "token": key[keep], "df": df[keep].astype(np.int32), "high": high[keep].astype(np.int32)})
 

@@ -60,8 +60,9 @@ def test_equals_brute_force(spark, seed, width, num, den, monkeypatch):
     monkeypatch.setattr(jaccard, "QUERIES", 20)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, node string")
-    got = jaccard.cluster(df, width, num, den).collect()
-    assert sorted(map(tuple, got)) == brute(rows, width, num, den)
+    want = brute(rows, width, num, den)
+    for sent in (1.0, 0.3):
+        assert sorted(map(tuple, jaccard.cluster(df, width, num, den, sent=sent).collect())) == want
 
 
 def test_repeated_ids_and_rows(spark):
