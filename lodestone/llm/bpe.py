@@ -13,6 +13,7 @@ Null texts count as empty: no tokens, and the decoded text is empty. Extra colum
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from functools import lru_cache
 
@@ -31,6 +32,7 @@ _BLANK = re.compile(r"[ \t\n\r]+")
 @lru_cache(maxsize=4)
 def load(path: str):
     """The tokenizer of a file, without truncation and padding; once in each worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -88,30 +90,53 @@ def tree_encode(tok, word: str, whole_chars: int, window: int = 64) -> list[int]
 
 
 class Encoder:
-    """Encodes whole texts and decodes the ids again; keeps the words it has seen, up to `cached` of them."""
+    """Encodes whole texts and decodes the ids again. Words are kept in two generations of up to `cached` words: a full one
+    replaces the older one, from which words that still occur move on."""
 
-    def __init__(self, path: str, cached: int = 200_000, whole_chars: int = 8192):
+    def __init__(self, path: str, cached: int = 150_000, whole_chars: int = 8192):
         self.tok, self.cached, self.whole_chars = load(path), cached, whole_chars
-        self.known: dict[str, tuple[bytes, str]] = {"": (b"", "")}
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoding."""
-        if (got := self.known.get(word)) is None:
-            if len(word) > self.whole_chars:
-                ids = tree_encode(self.tok, word, self.whole_chars)
+        self.plain = self.tok.decoder is None
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Have all words known: ids as little-endian unsigned 32-bit integers, and their decoding."""
+        new = []
+        for w in words - self.known.keys():
+            if (got := self.old.get(w)) is not None:
+                self.known[w] = got
+            elif len(w) > self.whole_chars:
+                ids = tree_encode(self.tok, w, self.whole_chars)
+                self.known[w] = np.asarray(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)
             else:
-                ids = self.tok.encode(word, add_special_tokens=False).ids
-            got = np.asarray(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)
-            if len(word) <= 64:
-                if len(self.known) >= self.cached:
-                    self.known.clear()
-                    self.known[""] = (b"", "")
-                self.known[word] = got
-        return got
+                new.append(w)
+        for lo in range(0, len(new), 4096):  # many words as one text, as white space parts them anyway
+            some = new[lo : lo + 4096]
+            e = self.tok.encode(" ".join(some), add_special_tokens=False)
+            starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in some])])
+            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts).tolist()
+            ids, said = np.asarray(e.ids, "<u4").tobytes(), e.tokens
+            for w, x, y in zip(some, cuts, cuts[1:], strict=False):
+                # a tokenizer without a decoder puts blanks between the tokens
+                self.known[w] = ids[4 * x : 4 * y], " ".join(said[x:y]) if self.plain else self.tok.decode(e.ids[x:y], skip_special_tokens=False)
+
+    def texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        parts = [_BLANK.split(t or "") for t in texts]
+        words = {w for p in parts for w in p}
+        self._learn(words)
+        out = []
+        for p in parts:
+            got = [g for w in p if (g := self.known[w])[0]]
+            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+        for w in words:
+            if len(w) > 64:
+                del self.known[w]
+        if len(self.known) > self.cached:
+            self.old, self.known = self.known, {}
+        return out
 
     def text(self, text: str | None) -> tuple[bytes, str]:
-        got = [g for w in _BLANK.split(text or "") if (g := self.word(w))[0]]
-        return b"".join(g[0] for g in got), " ".join(g[1] for g in got)
+        return self.texts([text])[0]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, what: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -132,11 +157,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
             "decoded_sha256": lambda ids, said: hashlib.sha256(said.encode()).hexdigest(),
         }
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
                 out: dict[str, list] = {k: [] for k in what}
-                for x in part.column(len(kept)).to_pylist():
-                    got = enc.text(x)
+                for got in enc.texts(part.column(len(kept)).to_pylist()):
                     for k in what:
                         out[k].append(make[k](*got))
                 yield pa.RecordBatch.from_arrays(
