@@ -40,6 +40,31 @@ def parsed(raw_json: Column) -> Column:
     return F.struct(pick("rec_texts", "texts").alias("rec_texts"), pick("rec_scores", "scores").alias("rec_scores"), pick("dt_polys", "rec_polys").alias("dt_polys"))
 
 
+VISUAL = ("seal", "stamp", "signature", "image", "figure", "chart", "logo")
+
+
+def kept_elements(layout: Column, threshold: float = 0.5) -> Column:
+    """The layout elements (label, score, coordinate) at a confidence or above."""
+    return F.filter(layout, lambda e: e["score"] >= threshold)
+
+
+def visual_elements(layout: Column, threshold: float = 0.5) -> Column:
+    """Those of them whose label names something to look at rather than to read."""
+    return F.filter(kept_elements(layout, threshold), lambda e: F.lower(e["label"]).rlike("|".join(VISUAL)))
+
+
+def first_of(pages: DataFrame, engines: list, cut, id: str = "page") -> DataFrame:
+    """id, engine, text, confidence by the first engine that reads a page. engines: (name, function DataFrame -> DataFrame(id, text, confidence)); each only gets the
+    pages that those before it left without text."""
+    left, out = pages, None
+    for name, read in engines:
+        got = cut(read(left).where(F.trim(F.coalesce("text", F.lit(""))) != "").select(id, F.lit(name).alias("engine"), "text", "confidence"))
+        out = got if out is None else out.unionByName(got)
+        left = left.join(got.select(id), id, "left_anti")
+    failed = left.select(id, F.lit(None).cast("string").alias("engine"), F.lit("").alias("text"), F.lit(0.0).alias("confidence"))
+    return failed if out is None else out.unionByName(failed)
+
+
 def mean_confidence(items_: Column) -> Column:
     return F.when(F.size(items_) > 0, F.aggregate(items_, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.size(items_)).otherwise(0.0)
 

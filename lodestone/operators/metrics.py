@@ -26,6 +26,17 @@ def hit_metrics(queries: DataFrame, relevant: DataFrame, ks=(1, 2, 3)) -> DataFr
     return best.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 4).alias("mrr"), *(hit(k).alias(f"hit_at_{k}") for k in ks))
 
 
+def system_benchmark(queries: DataFrame, relevant: DataFrame, times: DataFrame, value: str = "ms") -> DataFrame:
+    """One row: Hit@1, 3 and 5, MRR, queries a second, and the latency's mean and percentiles. times: query and its milliseconds."""
+    speed = latency(times, value).crossJoin(times.agg(F.round(1000 * F.count("*") / F.sum(value), 3).alias("qps")))  # one row each
+    return hit_metrics(queries, relevant, (1, 3, 5)).crossJoin(speed.drop("n"))
+
+
+def failures(queries: DataFrame, relevant: DataFrame) -> DataFrame:
+    """The queries without any relevant hit."""
+    return queries.select("query").distinct().join(relevant.select("query"), "query", "left_anti")
+
+
 def latency(times: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, mean, p50, p95, p99 by linear interpolation, to three places."""
     p = lambda q: F.round(F.percentile(F.col(value), F.lit(q)), 3)

@@ -190,7 +190,7 @@ def weights(use_llm: bool = False) -> Column:
     return F.struct(*(F.when(off.get(k, F.lit(False)), 0.0).otherwise(F.lit(w) + dropped / left).alias(k) for k, w in WEIGHTS.items()))
 
 
-def candidates(intent: DataFrame, kb: KnowledgeBase, use_llm: bool = False) -> DataFrame:
+def candidates(intent: DataFrame, kb: KnowledgeBase, llm=None) -> DataFrame:
     """intent rows with ranked: array of structs (total, department, id, rejected, reason, signals), best first, of the CANDIDATES
     departments that a cheap first score prefers (those at FLOOR or above, or all if none is). The first use of costly scores is after that cut only in meaning: all are
     expressions over the same row."""
@@ -198,8 +198,8 @@ def candidates(intent: DataFrame, kb: KnowledgeBase, use_llm: bool = False) -> D
     rows = intent.withColumns({"__low": _low(F.col("focus")), "__words": routing_tokens(F.col("focus")), "__haylow": _low(both), "__hay": routing_tokens(both)})
     names = list(WEIGHTS)
     rows = kb.prepared(rows)
-    rows = rows.withColumn("__s", F.array(*(F.struct(*(c.cast("double").alias(k) for k, c in signals(kb, i).items())) for i in range(len(kb.departments)))))
-    rows = rows.withColumn("__w", weights(use_llm))
+    rows = rows.withColumn("__s", F.array(*(F.struct(*(c.cast("double").alias(k) for k, c in signals(kb, i, llm(kb.departments[i]) if llm else None).items())) for i in range(len(kb.departments)))))
+    rows = rows.withColumn("__w", weights(llm is not None))
     hay = F.col("__haylow")
     made = []
     for i, d in enumerate(kb.departments):
@@ -273,12 +273,18 @@ def confidence(top: Column, n_conflicts: Column, is_ambiguous: Column, n_missing
 SOFT = ("document_type", "summary", "intent", "topic", "requested_action", "institution")
 
 
-def route(states: DataFrame, kb: KnowledgeBase, use_llm: bool = False) -> DataFrame:
-    """state_id, label and the decision of every intent of every state: status, department, authority, channel, alternatives, conflicts, confidence ..."""
+def heuristic(d: Department) -> Column:
+    """The stand-in for a model's score: the share of a department's responsibilities that the text names."""
+    return share(d.responsibilities, F.col("__low"), F.col("__words"))
+
+
+def route(states: DataFrame, kb: KnowledgeBase, llm=None) -> DataFrame:
+    """state_id, label and the decision of every intent of every state: status, department, authority, channel, alternatives, conflicts, confidence ...
+    llm: a function from a department to the Column of a model's score for it, such as heuristic(); without one that signal's weight is shared out."""
     for name, kind in (("writing_output", "string"), ("analysis_summary", "string"), ("classification_topic", "string"), ("document_type", "string")):
         if name not in states.columns:
             states = states.withColumn(name, F.lit(None).cast(kind))
-    rows = heard(candidates(intents(analysed(states), kb), kb, use_llm))
+    rows = heard(candidates(intents(analysed(states), kb), kb, llm))
     top = F.get("ranked", F.lit(0))
     by = lambda f: reduce(lambda rest, d: F.when(top["id"] == d.id, F.lit(f(d))).otherwise(rest), kb.departments, F.lit(None).cast("string"))
     empty = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in SOFT)))

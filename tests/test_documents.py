@@ -40,6 +40,21 @@ def test_routing(spark, kb):
     assert ok[0] == (True, "İnsan Kaynakları") and len(ok) == 5
 
 
+def test_model_scores_can_be_injected(spark, kb):
+    got = routing.route(states(spark, {"document_text": "dava takibi istenir"}), kb, routing.heuristic).first()
+    assert got["department"] == "Hukuk Müşavirliği" and got["signals"]["llm"] == 1.0
+
+
+def test_engines_and_elements(spark):
+    pages = spark.createDataFrame([(1,), (2,), (3,)], "page int")
+    read = lambda n: lambda df: df.where(f"page = {n}").withColumns({"text": F.lit(f"t{n}"), "confidence": F.lit(0.5)})
+    got = {r["page"]: (r["engine"], r["text"]) for r in layout.first_of(pages, [("a", read(1)), ("b", read(2))], cut).collect()}
+    assert got == {1: ("a", "t1"), 2: ("b", "t2"), 3: (None, "")}
+    df = spark.createDataFrame([([("Seal", 0.9), ("text", 0.9), ("figure_title", 0.3)],)], "l array<struct<label:string,score:double>>")
+    r = df.select(layout.kept_elements(F.col("l")).alias("k"), layout.visual_elements(F.col("l")).alias("v")).first()
+    assert len(r["k"]) == 2 and [v["label"] for v in r["v"]] == ["Seal"]
+
+
 def test_weights_are_shared_out(spark):
     w = states(spark, {}, {"entities": ["x"], "legal_references": ["y"]}).select("state_id", routing.weights().alias("w")).orderBy("state_id").collect()
     for r in w:

@@ -10,6 +10,9 @@ def test_hits(spark):
     q = spark.createDataFrame([(1,), (2,)], "query long")
     rel = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "query long, rank int")
     assert tuple(metrics.hit_metrics(q, rel).first()) == (2, 0.4167, 0.0, 0.5, 1.0)
+    times = spark.createDataFrame([(1, 10.0), (2, 30.0)], "query long, ms double")
+    assert metrics.system_benchmark(q, rel, times).first().asDict() == {"n_queries": 2, "mrr": 0.4167, "hit_at_1": 0.0, "hit_at_3": 1.0, "hit_at_5": 1.0, "mean": 20.0, "p50": 20.0, "p95": 29.0, "p99": 29.8, "qps": 50.0}
+    assert metrics.failures(spark.createDataFrame([(1,), (9,)], "query long"), rel).first()["query"] == 9
     hits = spark.createDataFrame([(1, 7, 1, "213", "5", "f"), (2, 8, 1, "1", "4", "g"), (3, 9, 1, "1", "12", "h")], "query long, doc long, rank int, law_number string, article_no string, source_file string")
     want = spark.createDataFrame([(1, ["213"], ["5"], [], []), (2, [], [], [], ["g"]), (3, [], [], ["h#1"], [])], "query long, laws array<string>, articles array<string>, ids array<string>, files array<string>")
     assert sorted(r["query"] for r in metrics.relevance(hits, want).collect()) == [1, 2, 3]

@@ -118,3 +118,9 @@ def test_retrieve(spark):
     got = retrieval.retrieve(retrieval.Index(chunks), q, 3, use_prf=None).collect()
     assert {(r["query"], r["rank"]): r["doc"] for r in got if r["query"] == 1}[(1, 1)] == 1 and all(r["query"] != 3 for r in got)
     assert retrieval.sizes(None) == (5, 20) and retrieval.sizes(99) == (20, 40) and retrieval.sizes(-1) == (1, 20)
+
+
+def test_contexts(spark):
+    chunks = spark.createDataFrame([(i, t, "213", str(i), "laws") for i, t in DOCS], "chunk_id long, text string, law_number string, article_no string, source_type string")
+    got = {r["query"]: r for r in retrieval.contexts(retrieval.Index(chunks), spark.createDataFrame([(1, "yol onarımı"), (2, "hiç yok")], "query long, text string"), 2).collect()}
+    assert got[1]["count"] == 1 and got[1]["sources"][0]["article_number"] == "3" and (got[2]["context"], got[2]["count"]) == ("", 0)
