@@ -93,47 +93,46 @@ class Encoder:
     """Encodes whole texts and decodes the ids again. Words are kept in two generations of up to `cached` words: a full one
     replaces the older one, from which words that still occur move on."""
 
-    def __init__(self, path: str, cached: int = 150_000, whole_chars: int = 8192):
+    def __init__(self, path: str, cached: int = 250_000, whole_chars: int = 8192):
         self.tok, self.cached, self.whole_chars = load(path), cached, whole_chars
-        self.plain = self.tok.decoder is None
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        """Have all words known: ids as little-endian unsigned 32-bit integers, and their decoding."""
-        new = []
-        for w in words - self.known.keys():
-            if (got := self.old.get(w)) is not None:
-                self.known[w] = got
+        """Have all words known, as ids in little-endian unsigned 32-bit integers."""
+        known, old, new = self.known, self.old, []
+        for w in words - known.keys():
+            if w in old:
+                known[w] = old[w]
             elif len(w) > self.whole_chars:
-                ids = tree_encode(self.tok, w, self.whole_chars)
-                self.known[w] = np.asarray(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)
+                known[w] = np.asarray(tree_encode(self.tok, w, self.whole_chars), "<u4").tobytes()
             else:
                 new.append(w)
         for lo in range(0, len(new), 4096):  # many words as one text, as white space parts them anyway
             some = new[lo : lo + 4096]
             e = self.tok.encode(" ".join(some), add_special_tokens=False)
             starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in some])])
-            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts).tolist()
-            ids, said = np.asarray(e.ids, "<u4").tobytes(), e.tokens
-            for w, x, y in zip(some, cuts, cuts[1:], strict=False):
-                # a tokenizer without a decoder puts blanks between the tokens
-                self.known[w] = ids[4 * x : 4 * y], " ".join(said[x:y]) if self.plain else self.tok.decode(e.ids[x:y], skip_special_tokens=False)
+            cuts = (4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)).tolist()
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            known.update(zip(some, [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def decode(self, ids: bytes) -> str:
+        """The decoding of ids; a tokenizer without a decoder puts blanks between the tokens."""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        return " ".join(map(self.names.__getitem__, numbers)) if self.tok.decoder is None else self.tok.decode(numbers, skip_special_tokens=False)
 
     def texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         parts = [_BLANK.split(t or "") for t in texts]
-        words = {w for p in parts for w in p}
+        words = set().union(*parts)
         self._learn(words)
-        out = []
-        for p in parts:
-            got = [g for w in p if (g := self.known[w])[0]]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+        got = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for w in words:
             if len(w) > 64:
                 del self.known[w]
         if len(self.known) > self.cached:
             self.old, self.known = self.known, {}
-        return out
+        return [(ids, self.decode(ids)) for ids in got]
 
     def text(self, text: str | None) -> tuple[bytes, str]:
         return self.texts([text])[0]
