@@ -1,13 +1,16 @@
 """Personal data: candidate spans, judged by gradient-boosted trees, and redaction. Native expressions only.
 
 Base spans are what the patterns of email, ip, card and phone find and their checks accept; they always stay. Besides,
-high-recall generators propose number-like and mail-like spans, overlapping each other and the base ones. Every candidate has format
+high-recall generators propose spans of all four kinds, overlapping each other and the base ones: every window of digit groups of a run of
+numbers, as each kind that its digits allow, and mail-like spans, cut after each label of the domain. So what a base pattern takes
+together and then drops (two cards, or a phone number before an address) is proposed in its parts. Every candidate has format
 features (digits, groups, separators, check digit ...) and context features (neighbouring characters, cue words before it).
 The trees learn from all candidates of the corpus: base spans are positive; candidates that touch no base span and have the
-shape of no kind are negative; well-formed ones that the patterns leave out (a phone number without its plus, a spelt-out
-at sign) are unlabelled. The features are small integers, so the corpus is aggregated to counts of their combinations,
+shape of no kind are negative; those that touch one, and well-formed ones (a phone number without its plus, a spelt-out
+at sign, half of a dropped match), are unlabelled. The features are small integers, so the corpus is aggregated to counts of their combinations,
 which is all that the driver sees. A fifth of the documents, by a hash of their id, sets each kind's threshold: the lowest one with a
-precision of `precision`. Unlabelled candidates above it that touch no base span are added.
+precision of `precision`. All candidates are scored; of those above their kind's threshold that overlap, the ones beside base spans come first,
+then the higher score, then the longer one. Candidates inside a base span add nothing.
 
 Null and empty texts have no spans. Repeated rows give repeated results; ties in start go by kind (email, ip, card, phone). Without
 candidates nothing is learned or added. redact() passes extra columns through.
@@ -33,11 +36,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "number": r"[+(]?[0-9][0-9\x20().-]{5,}[0-9]",
-    "mail": r"(?i)(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[(\[{]at[)\]}]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
+    "number": r"\+?\(?[0-9][0-9\x20().+-]{5,}[0-9]",
+    "mail": r"(?i)(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|[(\[{]at[)\]}])\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
 }
+#: Most digits of a window.
+MOST = 19
 CUES = r"(?i)(?:tel|phone|mobile|fax|call|card|visa|account|iban|mail|contact|address)[^a-z0-9]{0,8}$"
 _SPAN = "array<struct<start:int,end:int,said:string,before:string,after:string>>"
+_NAMED = "array<struct<start:int,order:int,kind:string,end:int,said:string,before:string,after:string>>"
 
 
 def spans(text: Column, pattern: str, gate: Column) -> Column:
@@ -82,7 +88,7 @@ def accepted(kind: str, s: Column) -> Column:
 
 def _gates(text: Column) -> dict[str, Column]:
     number = text.rlike("[0-9]")
-    return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": number, "phone": text.contains("+"), "number": number, "mail": text.rlike(r"(?i)[(\[{]at[)\]}]")}
+    return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": number, "phone": text.contains("+"), "number": number, "mail": text.rlike(r"(?i)@|[(\[{]at[)\]}]")}
 
 
 def _named(arr: Column, kind: str) -> Column:
@@ -101,11 +107,80 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*map(of, KINDS)))
 
 
+def _windows(run: Column, parts: Column) -> Column:
+    """Sub-spans of a run: from the start of any of its parts (p: start of the part, q: of its digits) to the end (e) of the same or a later one, with all
+    the kinds each could be; n: number of digits."""
+    size = F.size(parts)
+
+    def ends(g, i):
+        zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"), F.array().cast("array<struct<q:int,p:int,e:int,n:int>>").alias("out"))
+
+        def step(acc, h):
+            n = acc["n"] + h["n"]
+            # a plus starts another number
+            on = acc["on"] & (n <= MOST) & ((h["p"] == g["p"]) | ~h["plus"])
+            one = F.array(F.struct(g["q"].alias("q"), g["p"].alias("p"), h["e"].alias("e"), n.alias("n")))
+            return F.struct(n.alias("n"), on.alias("on"), F.when(on & (n >= 4), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(F.slice(parts, i + 1, F.least(F.lit(MOST), size - i)), zero, step, lambda acc: acc["out"])
+
+    def kinds(w):
+        bare = F.substring(run["said"], w["q"] + 1, w["e"] - w["q"])
+
+        def as_(kind, start, fits):
+            said = F.substring(run["said"], start + 1, w["e"] - start)
+            before = F.right(F.concat(run["before"], F.substring(run["said"], F.lit(1), start)), F.lit(24))
+            after = F.left(F.concat(F.substring(run["said"], w["e"] + 1, F.lit(1)), run["after"]), F.lit(1))
+            span = F.struct((run["start"] + start).alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), (run["start"] + w["e"]).alias("end"), said.alias("said"), before.alias("before"), after.alias("after"))
+            return F.when(fits, F.array(span)).otherwise(F.array().cast(_NAMED))
+
+        return F.concat(as_("ip", w["q"], bare.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")), as_("card", w["q"], w["n"] >= 12), as_("phone", w["p"], w["n"].between(7, 15)))
+
+    return F.flatten(F.transform(F.flatten(F.transform(parts, ends)), kinds))
+
+
+def _numbers(run: Column) -> Column:
+    """The windows of the digit groups of a run."""
+    said = run["said"]
+    group = r"\+?\(?[0-9]+"
+    found = F.arrays_zip(F.regexp_extract_all(said, F.lit(group), F.lit(0)).alias("m"), F.split(said, group, -1).alias("b"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:int,q:int,e:int,n:int,plus:boolean>>").alias("out"))
+
+    def step(acc, x):
+        p = acc["at"] + F.length(x["b"])
+        e = p + F.length(x["m"])
+        n = F.length(digits(x["m"]))
+        one = F.array(F.struct(p.alias("p"), (e - n).alias("q"), e.alias("e"), n.alias("n"), x["m"].startswith("+").alias("plus")))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], one).alias("out")))
+
+    groups = F.aggregate(found, zero, step, lambda acc: acc["out"])
+    # through a one-element array, so that the groups are found once
+    return F.flatten(F.transform(F.array(groups), lambda g: _windows(run, g)))
+
+
+def _mails(x: Column) -> Column:
+    """A mail-like span, and what it is when cut after each of its domain's first labels."""
+    head = F.regexp_extract(x["said"], r"(?i)^[A-Za-z0-9._%+-]+\x20?(?:@|[(\[{]at[)\]}])\x20?", 0)
+    labels = F.split(F.substring(x["said"], F.length(head) + 1, F.length(x["said"])), r"\.")
+
+    def cut(label, i):
+        said = F.concat(head, F.array_join(F.slice(labels, F.lit(1), i + 1), "."))
+        end = F.length(said)
+        after = F.left(F.concat(F.substring(x["said"], end + 1, F.lit(1)), x["after"]), F.lit(1))
+        return F.struct(x["start"].alias("start"), F.lit(0).alias("order"), F.lit("email").alias("kind"), (x["start"] + end).alias("end"), said.alias("said"), x["before"].alias("before"), after.alias("after"))
+
+    return F.transform(labels, cut)
+
+
+def touches(x: Column, base: Column) -> Column:
+    return F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+
 def proposals(text: Column, base: Column) -> Column:
-    """Generated spans, of the same type, that touch no base span; order and kind say what they would be."""
+    """Generated spans of all kinds, of the same type, which overlap each other and may overlap base spans; those inside a base span are left out, as it stays anyway."""
     gates = _gates(text)
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return F.concat(*(_named(F.filter(spans(text, pattern, gates[name]), free), "email" if name == "mail" else "phone") for name, pattern in GENERATORS.items()))
+    each = F.concat(F.flatten(F.transform(spans(text, GENERATORS["number"], gates["number"]), _numbers)), F.flatten(F.transform(spans(text, GENERATORS["mail"], gates["mail"]), _mails)))
+    return F.filter(each, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
 
 
 def _neighbour(c: Column) -> Column:
@@ -128,7 +203,7 @@ def features(x: Column) -> dict[str, Column]:
         "hyphens": F.least(F.regexp_count(said, F.lit("-")), F.lit(3)),
         "blanks": F.least(F.regexp_count(said, F.lit(" ")), F.lit(3)),
         "dots": F.least(F.regexp_count(said, F.lit(r"\.")), F.lit(4)),
-        "check": F.when(F.length(d).between(12, 19), luhn(d).cast("int")).otherwise(2),
+        "check": F.when(x["order"] == KINDS.index("ip"), accepted("ip", said).cast("int")).when(F.length(d).between(12, 19), luhn(d).cast("int")).otherwise(2),
         "left": _neighbour(F.right(x["before"], F.lit(1))),
         "right": _neighbour(x["after"]),
         "cue": x["before"].rlike(CUES).cast("int"),
@@ -137,9 +212,11 @@ def features(x: Column) -> dict[str, Column]:
 
 
 def well_formed(x: Column) -> Column:
-    """Shapes that a person would read as a phone number or an address, which the base patterns leave out."""
-    phone = x["said"].rlike(r"^\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}$") & F.length(digits(x["said"])).between(9, 12)
-    return F.when(x["order"] == 0, x["said"].rlike(r"\.[A-Za-z]{2,}$")).otherwise(phone)
+    """Shapes that a person would read as an address, a card or a phone number, and addresses cut short: without a label where no base span holds them."""
+    said = x["said"]
+    phone = (said.rlike(r"^\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}$") & F.length(digits(said)).between(9, 12)) | (said.startswith("+") & accepted("phone", said))
+    card = said.rlike(r"^(?:[0-9]{12,19}|[0-9]{4}(?:[\x20.-]{1,2}[0-9]{4}){3}|[0-9]{4}[\x20.-]{1,2}[0-9]{6}[\x20.-]{1,2}[0-9]{5})$") & accepted("card", said)
+    return F.when(x["order"] == 0, said.rlike(r"\.[A-Za-z]{2,}$") | (x["after"] == ".")).when(x["order"] == 1, accepted("ip", said)).when(x["order"] == 2, card).otherwise(phone)
 
 
 class Trees:
@@ -211,7 +288,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", precision: floa
     base = base.withColumn("__base", base_spans(F.col("__text")))
     base = base.select("held", F.col("__base"), proposals(F.col("__text"), F.col("__base")).alias("__more"))
     label = lambda arr, y: F.transform(arr, lambda x: F.struct(x.alias("x"), y(x).alias("y")))
-    each = base.select("held", F.explode(F.concat(label(F.col("__base"), lambda x: F.lit(1)), label(F.col("__more"), lambda x: F.when(well_formed(x), -1).otherwise(0)))).alias("c"))
+    each = base.select("held", F.explode(F.concat(label(F.col("__base"), lambda x: F.lit(1)), label(F.col("__more"), lambda x: F.when(touches(x, F.col("__base")) | well_formed(x), -1).otherwise(0)))).alias("c"))
     f = features(F.col("c.x"))
     rows = each.select("held", F.col("c.y").alias("y"), *(f[k].cast("int").alias(k) for k in FEATURES)).where("y >= 0")
     # combinations of small integers: their number has a bound that does not depend on the corpus
@@ -228,7 +305,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", precision: floa
         for i, (s, y, n) in enumerate(scored):
             all_, good = all_ + n, good + y * n
             if good >= precision * all_ and (i + 1 == len(scored) or scored[i + 1][0] < s):
-                least = s
+                least = (s + scored[i + 1][0]) / 2 if i + 1 < len(scored) else -math.inf
         trees.thresholds[k] = max(least, 0.0)
     return trees
 
@@ -241,11 +318,17 @@ def detect(docs: DataFrame, trees: Trees | None, text: str = "text", base: str =
     spans_ = place(F.col("__base"))
     if trees and any(math.isfinite(v) for v in trees.thresholds.values()):
 
-        def chosen(x):
-            limit = reduce(lambda c, k: F.when(x["order"] == k, trees.thresholds[k]).otherwise(c), [k for k, v in trees.thresholds.items() if math.isfinite(v)], F.lit(math.inf))
-            return F.when(well_formed(x), trees.expression(features(x)) >= limit).otherwise(False)
-
-        spans_ = F.sort_array(F.concat(spans_, place(F.filter(proposals(whole, F.col("__base")), chosen))))
+        limit = lambda x: reduce(lambda c, k: F.when(x["order"] == k, trees.thresholds[k]).otherwise(c), [k for k, v in trees.thresholds.items() if math.isfinite(v)], F.lit(math.inf))
+        # step by step, as an expression inside a lambda is evaluated wherever it is named
+        found = F.transform(proposals(whole, F.col("__base")), lambda x: F.struct(x.alias("x"), F.struct(*(v.cast("int").alias(k) for k, v in features(x).items())).alias("f")))
+        found = F.transform(found, lambda c: F.struct(c["x"].alias("x"), trees.expression({k: c["f"][k] for k in FEATURES}).alias("score")))
+        found = F.filter(found, lambda c: c["score"] >= limit(c["x"]))
+        # the best first: beside the base spans, by score, the longer ones
+        rank = lambda c: F.struct(touches(c["x"], F.col("__base")).alias("t"), (-F.round(c["score"], 9)).alias("s"), (c["x"]["start"] - c["x"]["end"]).alias("l"), *(c["x"][k].alias(k) for k in ("start", "order", "kind", "end")))
+        ranked = F.sort_array(F.transform(found, rank))
+        none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+        kept = F.aggregate(place(ranked), none, lambda acc, x: F.when(touches(x, acc), acc).otherwise(F.concat(acc, F.array(x))))
+        spans_ = F.sort_array(F.concat(spans_, kept))
     return out.withColumns({all: spans_, base: place(F.col("__base"))}).drop("__base")
 
 

@@ -61,6 +61,21 @@ def test_trees_add_what_the_patterns_leave_out(spark):
     assert all(set(brute(t)) <= set(filter(None, got[i].split(","))) for i, t in rows)
 
 
+def test_parts_of_dropped_matches_and_spans_beside_base_ones(spark):
+    cards = ["4111 1111 1111 1111", "5500005555555559", "4012888888881881", "378282246310005"]
+    rows = corpus() + [(400 + i, f"paid by {cards[i % 4]} then") for i in range(60)] + [(500 + i, f"code {10**15 + 7 * i} and {10**11 + i} here") for i in range(60)]
+    more = {
+        2000: ("ids 4111111111111111 4012888888881881 end", "card:4:20,card:21:37"),
+        2001: ("ids 2353820953013748 4111111111111111 end", "card:21:37"),
+        2002: ("at +1 (826) 555-4081 190.137.223.204 end", "phone:3:20,ip:21:36"),
+        2003: ("at 300.10.20.30.40 end", "ip:7:18"),
+        2004: ("or jane.doe [at] mail.org end", "email:3:25"),
+    }
+    df = spark.createDataFrame(rows + [(i, t) for i, (t, _) in more.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.detect(df, pii.fit(df)).select("doc_id", pii.listed(pii.F.col("pii_spans")).alias("s")).where("doc_id >= 2000").collect()}
+    assert got == {i: want for i, (_, want) in more.items()}
+
+
 def test_expression_equals_the_trees(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     trees = pii.fit(df)
