@@ -581,13 +581,13 @@ def page_decision(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", d.alias("decision"))
 
 
-def _states(spark, sf_dir):
+def _states(spark, sf_dir, chars=None):
     d = table(spark, sf_dir, "documents")
     words = ("izin talebi", "dava açma", "yol bozuk", "vergi borcu", "ağaç budama", "genel")
     said = F.get(F.array(*map(F.lit, words)), (F.col("doc_id") % 6).cast("int"))
     none = F.lit(None).cast("string")
     return d.select(
-        F.col("doc_id").alias("state_id"), F.concat_ws(" ", said, F.left("text", F.lit(500))).alias("document_text"), none.alias("summary"), said.alias("intent"), none.alias("requested_action"), said.alias("topic"), F.array(F.lit("yol onarımı")).alias("subtopics"),
+        F.col("doc_id").alias("state_id"), F.concat_ws(" ", said, F.left("text", F.lit(chars)) if chars else F.col("text")).alias("document_text"), none.alias("summary"), said.alias("intent"), none.alias("requested_action"), said.alias("topic"), F.array(F.lit("yol onarımı")).alias("subtopics"),
         F.lit("Belediye").alias("institution"), none.alias("recipient"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("legal_references"), F.array().cast("array<map<string,string>>").alias("previous_correspondence"),
     )
 
@@ -610,7 +610,8 @@ w AS (SELECT doc_id, trim(x) AS x, list_filter(regexp_extract_all(x, '[a-zA-Zç
 {" UNION ALL ".join(f"SELECT doc_id, '{d.id}' AS department, round(({' + '.join(_phrase_sql(k) for k in d.keywords + d.topics)}) / {len(d.keywords + d.topics)}.0, 6) AS keyword FROM w" for d in routing.DEPARTMENTS)}
 """)
 def route_scores(spark, sf_dir):
-    s = _states(spark, sf_dir).select(F.col("state_id").alias("doc_id"), F.lower(F.trim("document_text")).alias("x"), routing.routing_tokens(F.col("document_text")).alias("ws"))
+    # like its SQL, over the first 500 characters
+    s = _states(spark, sf_dir, 500).select(F.col("state_id").alias("doc_id"), F.lower(F.trim("document_text")).alias("x"), routing.routing_tokens(F.col("document_text")).alias("ws"))
     each = F.array(*(F.struct(F.lit(d.id).alias("department"), F.round(routing.share(d.keywords + d.topics, F.col("x"), F.col("ws")), 6).alias("keyword")) for d in routing.DEPARTMENTS))
     return s.select("doc_id", F.explode(each).alias("d")).select("doc_id", "d.department", "d.keyword")
 
