@@ -1,13 +1,14 @@
 """Quality rules with adaptive thresholds.
 
 Each text's counts are made natively in one pass and written once. Its ratios (symbols a word, repeated lines, repeated words, word
-length) go into quantile sketches for each language and source: logarithmic buckets of 2 % relative width and their counts, which merge by
-addition and do not depend on the order of merging. A group of fewer than `least` documents uses its language's
-merged sketch, and below that everyone's. The fences, some quartile ranges outside the middle half, replace fixed cutoffs; they are
-joined to the documents, and what lies beyond one is not kept.
+length) go, where the base rule holds, into quantile sketches for each language and source: logarithmic buckets of 2 % relative width and their
+counts, which merge by addition and do not depend on the order of merging. A group of fewer than `least` such documents uses its
+language's merged sketch, and below that everyone's. Fences come from the sketches' quantiles alone and replace fixed cutoffs: TIMES quartile ranges
+beyond the middle half, or, where that range is zero, FLAT times the distance from there to the quantile UPPER (below: 1 - UPPER). They are joined to the documents, and what lies beyond one is not kept.
 
 Null texts count as empty, without words, and fail the base rule. Null languages and sources are groups of their own. Ties cannot
-matter, as a verdict depends on the text and the fences only. Extra columns are ignored; without documents there are no rows.
+matter, as a verdict depends on the text and the fences only; repeated rows count and are returned as often as they come. Texts are counted
+whole, however long. Extra columns are ignored; without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import documents, stage
 
 WIDTH = math.log(1.02)
-#: Metric: how many quartile ranges beyond the middle half, and how far beyond it at least.
-FENCES = {"symbols": (6.0, 0.3), "dup_lines": (6.0, 0.5), "repeats": (6.0, 0.4), "word_length": (4.0, 1.5)}
-LEAST = 50
+#: Quartile ranges beyond the middle half; where that range is zero, so many times the distance to a quantile far out.
+TIMES, UPPER, FLAT = 4.0, 0.99, 2.0
+#: Metrics with fences above, and below too.
+ABOVE, BELOW = ("symbols", "dup_lines", "repeats", "word_length"), ("word_length",)
+LEAST = 30
 
 
 def counts(text: Column) -> dict[str, Column]:
@@ -63,14 +66,20 @@ def bucket(x: Column) -> Column:
     return F.when(x > 0, F.ceil(F.log(x) / WIDTH).cast("int")).otherwise(-(1 << 30))
 
 
-def value(b: Column) -> Column:
-    return F.when(b > -(1 << 30), F.exp((b - 0.5) * WIDTH)).otherwise(0.0)
+def value(b: Column, edge: float = 0.0) -> Column:
+    """A bucket's lower (-1), middle (0) or upper (1) number."""
+    return F.when(b > -(1 << 30), F.exp((b - 0.5 + edge / 2) * WIDTH)).otherwise(0.0)
+
+
+def failed() -> Column:
+    """The base rule's verdict."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def fences(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """level (2: language and source, 1: language, 0: all), __lang, __source, n, and low_* and high_* of each metric."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), bucket(c).alias("bucket")) for k, c in metrics().items()))).alias("m")
-    sketch = rows.select("__lang", "__source", each).groupBy("__lang", "__source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
+    sketch = rows.where(~failed()).select("__lang", "__source", each).groupBy("__lang", "__source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
     level = lambda k, lang, source: sketch.select(F.lit(k).alias("level"), lang.alias("__lang"), source.alias("__source"), "metric", "bucket", "n")
     none = F.lit(None).cast("string")
     levels = level(2, F.col("__lang"), F.col("__source")).unionByName(level(1, F.col("__lang"), none)).unionByName(level(0, none, none))
@@ -79,13 +88,14 @@ def fences(rows: DataFrame, least: int = LEAST) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("bucket")  # a sketch has as many rows as buckets: some hundreds
     run = merged.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(*key))})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.struct("bucket")))["bucket"]
-    quartiles = run.groupBy(*key).agg(value(at(0.25)).alias("q1"), value(at(0.75)).alias("q3"), F.max("all").alias("n"))
-    spread = F.col("q3") - F.col("q1")
-    aggs = [F.max("n").alias("n")]
-    for k, (times, margin) in FENCES.items():
-        aggs.append(F.max(F.when(F.col("metric") == k, F.col("q3") + F.greatest(times * spread, F.lit(margin)))).alias(f"high_{k}"))
-        aggs.append(F.max(F.when(F.col("metric") == k, F.col("q1") - F.greatest(times * spread, F.lit(margin)))).alias(f"low_{k}"))
-    return quartiles.groupBy("level", "__lang", "__source").agg(*aggs).where((F.col("n") >= least) | (F.col("level") == 0))
+    quantiles = run.groupBy(*key).agg(*(at(q).alias(k) for k, q in (("q1", 0.25), ("q3", 0.75), ("top", UPPER), ("bottom", 1 - UPPER))), F.max("all").alias("n"))
+    spread = value(F.col("q3")) - value(F.col("q1"))
+    flat = F.col("q1") == F.col("q3")
+    high = F.when(flat, value(F.col("q3"), 1) + FLAT * (value(F.col("top")) - value(F.col("q3")))).otherwise(value(F.col("q3")) + TIMES * spread)
+    low = F.when(flat, value(F.col("q1"), -1) - FLAT * (value(F.col("q1")) - value(F.col("bottom")))).otherwise(value(F.col("q1")) - TIMES * spread)
+    of = lambda k, c: F.max(F.when(F.col("metric") == k, c))
+    aggs = [of(k, high).alias(f"high_{k}") for k in ABOVE] + [of(k, low).alias(f"low_{k}") for k in BELOW]
+    return quantiles.groupBy("level", "__lang", "__source").agg(F.max("n").alias("n"), *aggs).where((F.col("n") >= least) | (F.col("level") == 0))
 
 
 def judge(docs: DataFrame, least: int = LEAST, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -104,11 +114,10 @@ def judge(docs: DataFrame, least: int = LEAST, id: str = "doc_id", text: str = "
         best = best.join(side, match, "left").drop(*(f"{c}_k" for c in on)) if on else best.join(F.broadcast(side), match, "left")  # level 0 is one row
     best = best.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), F.coalesce("f2", "f1", "f0").alias("f"))
     joined = rows.join(best, F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")), "left")
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.lit(True)
     for k, c in metrics().items():
-        within &= (c <= F.col("f")[f"high_{k}"]) & ((c >= F.col("f")[f"low_{k}"]) if k == "word_length" else F.lit(True))
-    return joined.select(F.col("__id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & within).alias("kept"))
+        within &= (c <= F.col("f")[f"high_{k}"]) & ((c >= F.col("f")[f"low_{k}"]) if k in BELOW else F.lit(True))
+    return joined.select(F.col("__id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), (~failed() & within).alias("kept"))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
