@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # What counts as a word character, and the words that carry no meaning of their own.
 TOKEN = "[0-9A-Za-zÀ-ÖØ-öø-ÿĞğİıŞşÇçÜüÖö]+"
+NO_TOKEN = "[^" + TOKEN[1:]
 STOPWORDS = (
     "ve", "ile", "bir", "bu", "için", "icin", "olan", "olarak", "veya", "de", "da", "ki", "mi", "mı", "mu", "mü", "the", "and", "or", "of",
     "to", "in", "on", "göre", "gore", "her", "gibi", "üzere", "uzere", "yahut",
@@ -45,7 +46,9 @@ def squeeze(text: Column) -> Column:
 
 def tokens(text: Column, min_len: int = 1, drop_stopwords: bool = False) -> Column:
     """Folded lower-case words in order; null has none."""
-    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda w: fold(F.lower(w)))
+    # what is no part of a word goes first, as lower case could make it one; then the whole text is folded at once
+    whole = fold(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NO_TOKEN, " ")))
+    words = F.array_remove(F.split(whole, " "), "")
     if min_len > 1:
         words = F.filter(words, lambda w: F.length(w) >= min_len)
     return F.filter(words, lambda w: ~w.isin(*STOPWORDS)) if drop_stopwords else words

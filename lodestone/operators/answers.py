@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.extract import cosine
 from lodestone.functions.text import fold, normal, repeats_itself, squeeze, token_estimate, tokens, without_repeats
-from lodestone.operators import querying
+from lodestone.operators import querying, vectors
 
 CACHE_VERSION = 9
 ABSTAINED = r"\b(saglanan\s+kaynaklarda\s+(?:bu\s+soruyu\s+)?dogrulanamadi|dogrulanamiyor|yeterli\s+(?:hukuki\s+)?(?:bilgi|pasaj|kaynak)\s+(?:bulunamadi|yok)|guvenilir\s+bir\s+(?:bilgi|yonlendirme)\s+veremem)\b"
@@ -194,9 +193,9 @@ def stored(cache: DataFrame, new: DataFrame, most: int = 200) -> DataFrame:
     return kept.orderBy(F.desc("created_at"), F.desc("entry")).limit(most)
 
 
-def nearest_entries(queries: DataFrame, cache: DataFrame) -> DataFrame:
-    """query, entry, cosine of questions (query, vector) and cached vectors; the cache is bounded by stored()."""
-    return queries.select("query", "vector").join(cache.select("entry", F.col("vector").alias("kept")), F.lit(True)).select("query", "entry", cosine(F.col("vector"), F.col("kept")).alias("cosine"))
+def nearest_entries(queries: DataFrame, cache: DataFrame, k: int = 5) -> DataFrame:
+    """query, entry, cosine of the k cached vectors nearest to each question (query, vector)."""
+    return vectors.knn(queries, cache, k, id="entry").select("query", F.col("doc").alias("entry"), "cosine")
 
 
 def follow_ups(turns: DataFrame) -> DataFrame:
@@ -219,11 +218,11 @@ def follow_ups(turns: DataFrame) -> DataFrame:
     return out.withColumns({"scoped": scoped, "memory": F.array_join(F.transform(last, line), "\n\n")}).drop("before")
 
 
-def conversations(turns: DataFrame, answer, most: int = 50) -> DataFrame:
+def conversations(turns: DataFrame, answer) -> DataFrame:
     """Answer whole conversations: turn by turn, since a question's scope comes from the answer before it; all conversations of a turn
     go together. answer: a function from DataFrame(conv_id, turn, question, scoped, memory, ambiguous) to DataFrame(conv_id, turn, answer, law_number)."""
     done = turns.select("conv_id", "turn", "question", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("law_number"))
-    numbers = sorted(r["turn"] for r in turns.select("turn").distinct().limit(most).collect())
+    numbers = sorted(r["turn"] for r in turns.select("turn").distinct().collect())  # as many as the longest conversation has
     for n in numbers:
         now = follow_ups(done.where(F.col("turn") <= n)).where(F.col("turn") == n)
         got = answer(now.select("conv_id", "turn", "question", "scoped", "memory", "ambiguous")).select("conv_id", "turn", F.col("answer").alias("a"), F.col("law_number").alias("l"))

@@ -73,7 +73,7 @@ def _top(name: str, source: str, k: int) -> str:
 
 
 def _index(spark, sf_dir):
-    return lexical.tokenized(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return lexical.indexed(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
 # ---------------------------------------------------------------- text
@@ -261,6 +261,33 @@ def vector_topk(spark, sf_dir):
     return vectors.search(q, e, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"WITH {_KNN.format('AND a.label = b.label')} SELECT query, doc, rank, round(greatest(0.0, (1 + cosine) / 2), 4) AS score FROM r WHERE rank <= 5")
+def vector_filtered(spark, sf_dir):
+    q, e = _vectors(spark, sf_dir)
+    q = q.withColumn("where", F.create_map(F.lit("label"), F.col("label").cast("string")))
+    return vectors.search(q, e, 5, where="where", keys=("label",)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""
+WITH {SCORES.replace("(SELECT item_id AS query, unnest({}) AS term FROM benchmark)".format(WORDS.format('text')), "(SELECT doc_id AS query, unnest({}) AS term FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 = 0)".format(WORDS.format('text')))} {_scored('s0', 'okapi')},
+x AS (SELECT doc_id, lang, source FROM documents),
+s AS (SELECT s0.query, s0.doc, s0.score FROM s0 JOIN x a ON a.doc_id = s0.query JOIN x b ON b.doc_id = s0.doc WHERE a.lang = b.lang AND a.source = b.source), {_top('l0', 's', 40)},
+l AS (SELECT query, doc, rank FROM l0 WHERE score > 0),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS v, lang, source FROM embeddings JOIN x ON doc_id = vec_id),
+c AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.lang = b.lang AND a.source = b.source), {_top('m', 'c', 40)},
+f AS (SELECT query, doc, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT query, doc, rank, 0.55 AS w FROM m UNION ALL SELECT query, doc, rank, 0.45 FROM l) GROUP BY query, doc)
+SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= 40
+""")
+def hybrid_vector(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text", F.lit("").alias("law_number"), F.lit("").alias("article_no"), F.col("lang").alias("source_type"), F.col("source").alias("source_file"))
+    index = retrieval.Index(chunks, e)
+    wanted = F.map_filter(F.create_map(F.lit("source_type"), F.col("lang"), F.lit("source_file"), F.col("source")), lambda k, v: v.isNotNull())
+    q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "text", wanted.alias("where")).join(e.withColumnRenamed("doc", "query"), "query")
+    return retrieval.hybrid(index, q, 40).select("query", "doc", "score")
+
+
 @query(f"""
 WITH {_KNN.format('AND a.vec_id <> b.vec_id')},
 f AS (SELECT query, min(CASE WHEN ql = dl THEN rank END) AS first FROM r WHERE rank <= 5 GROUP BY query)

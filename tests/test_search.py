@@ -82,12 +82,32 @@ def test_laws_by_title(spark):
     assert [tuple(r) for r in querying.laws_by_title(q, titles).collect()] == [(1, "1076")]
 
 
+def test_filters_hold_before_ranking(spark):
+    chunks = spark.createDataFrame([(i, "vergi borcu" if i < 5 or i == 199 else f"yol {i}", "9999" if i == 199 else "1", "1", "laws") for i in range(200)], "chunk_id long, text string, law_number string, article_no string, source_type string")
+    near = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(200)], "doc long, vector array<double>")
+    index = retrieval.Index(chunks, near)
+    q = spark.createDataFrame([(1, "vergi", {"law_number": "9999"}, [1.0, 0.0]), (2, "vergi", None, [1.0, 0.0])], "query long, text string, where map<string,string>, vector array<double>")
+    for mode in ("vector", "bm25", "hybrid"):
+        got = retrieval.hybrid(index, q, 5, mode).collect()
+        assert [r["doc"] for r in got if r["query"] == 1] == [199] and sorted(r["doc"] for r in got if r["query"] == 2) == [0, 1, 2, 3, 4], mode
+
+
+def test_tokens_keep_characters_apart_that_lower_case_would_join(spark):
+    from lodestone.functions.text import tokens
+
+    rows = spark.createDataFrame([("İstanbul'da IŞIK ılık Å\u212a5K\u0307 b\u212bc ÇÖĞÜ",), (None,), (" - ",)], "t string").select(tokens(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in rows] == [["istanbul", "da", "isik", "ilik", "å", "5k", "b", "c", "cogu"], [], []]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, None, 6)], "doc long, k string, n int")
     assert [r["doc"] for r in filters.matching(df, {"k": {"$in": ["a", "b"]}, "n": 5}).collect()] == [1, 2] and filters.matching(df, None).count() == 3
     assert filters.matching(df, {"nope": 1}, {"k": "a"}).count() == 1 and filters.matching(df, {"k": "c"}).count() == 0
-    q = spark.createDataFrame([(1, {"k": "a"}), (2, None), (3, {"k": "zz"})], "query long, where map<string,string>")
-    assert sorted(map(tuple, filters.by_query(q, df, ["k"]).collect())) == [(1, 1), (2, 1), (2, 2), (2, 3)]
+    docs = df.withColumn("text", F.lit("vergi")).withColumn("vector", F.array(F.lit(1.0), F.col("doc").cast("double")))
+    q = spark.createDataFrame([(1, {"k": "a"}), (2, None), (3, {"k": "zz"}), (4, {"k": "b", "other": "c"})], "query long, where map<string,string>").withColumn("text", F.lit("vergi")).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    admitted = [(1, 1), (2, 1), (2, 2), (2, 3), (4, 2)]
+    for got in (lexical.scores(q, lexical.tokenized(docs, "doc", "text", keep=("k",)), where="where", keys=("k",)), vectors.knn(q, docs, 3, where="where", keys=("k",))):
+        assert sorted((r["query"], r["doc"]) for r in got.collect()) == admitted
     m = spark.createDataFrame([({"a": "1"}, {"a": "2", "b": "3"}, {"Token": "x", "y": "z"})], "e map<string,string>, x map<string,string>, p map<string,string>")
     got = m.select(filters.merged(F.col("e"), F.col("x")).alias("m"), filters.redacted(F.col("p")).alias("p")).first()
     assert got["m"] == {"a": "1", "b": "3"} and got["p"] == {"Token": "<redacted>", "y": "z"}
