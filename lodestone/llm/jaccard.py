@@ -39,8 +39,8 @@ QUERIES = 512
 #: Edges that one task joins to components.
 TASK_EDGES = 500_000
 #: Tokens that one partition gets to count.
-PART_TOKENS = 6_000_000
-_BITS = 40
+PART_TOKENS = 5_000_000
+_BITS = 64
 
 
 def token_sets(column: pa.Array, width: int):
