@@ -9,7 +9,7 @@ to the first one beyond the range; across ranges, pointer jumping from the file'
 many rounds as the logarithm of the ranges of a file) finds where the chain of real records enters each range. Candidates that
 the chain does not reach are no records.
 
-Null payloads count as empty, null URLs are left out, as are those of over 32 KB, which no reader takes. Of rows that share the smallest
+Null payloads count as empty, null URLs are left out; very long URLs and payloads are written whole. Of rows that share the smallest
 page_id of a payload all are responses. A file that does not begin with a record has none; a chain that breaks off ends
 there. Extra columns of the input are ignored. Archives compressed as a whole or by record (gzip) are read too; places then count unpacked bytes.
 """
@@ -48,7 +48,7 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", pa
     """Write the rows as gzipped WARC files under path."""
     rows = plan(pages, id, url, payload, least)
     revisit = F.col("first").isNotNull() & (F.col("first") != F.col("id"))
-    uri = F.when(F.octet_length("url") <= 32768, F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20"))
+    uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20")
     line = lambda name, *value: F.concat(F.lit(name + ": "), *value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col("body").cast("string")))
