@@ -3,12 +3,12 @@
 A text's features are its words, word pairs and character 3- and 4-grams (bytes, as written), hashed into `buckets`
 rows of a learned embedding table, and one more feature for each word that equals the word before it. Their average goes
 through a softmax output of two classes. The model is trained by stochastic gradient descent in numpy, on at most `max_rows`
-labelled rows, taken in the order of a hash of their id; a part of those, kept out of training, fits the Platt scaling
+labels and four times as many rows of theirs, taken in the order of a hash; a part of those, kept out of training, fits the Platt scaling
 of the score. As both layers are linear, scoring needs only one number a feature (embedding times output weights),
 which is what the executors get: a table of `buckets` floats, whatever the corpus' size.
 
 Null and empty texts have no features and get the score of the bias alone. Labels that are null are left out; labels
-of ids that occur several times, or of several rows of one id, are all used. Without labels of both classes every score is the
+of ids that occur several times, or of several rows of one id, are all used within those bounds. Without labels of both classes every score is the
 share of label 1 among them, or 1 without any, so that nothing is rejected on no evidence. Ties do not matter: a row's score depends on its text alone.
 Extra columns pass through.
 """
@@ -131,7 +131,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """id, text, label of the texts to learn from: rows whose crc32 of the id is no multiple of five, at most max_rows labels in the order of a hash of the id."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     ids = ids.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows)
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select(F.col("__id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("__label").alias("label")).limit(4 * max_rows)
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select(F.col("__id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("__label").alias("label"))
+    # where ids repeat there may be more texts than labels: the first ones in a fixed order
+    return rows.orderBy(F.xxhash64("id", "text"), "id", "label").limit(4 * max_rows)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
