@@ -158,7 +158,8 @@ def eval_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded_size(b64: Column) -> Column:
-    """Bytes that a base64 text decodes to."""
+    """Bytes that a base64 text decodes to; its line breaks and blanks do not count."""
+    b64 = F.translate(b64, " \t\r\n", "")
     return F.floor(F.length(b64) * 3 / 4).cast("long") - F.when(b64.endswith("=="), 2).when(b64.endswith("="), 1).otherwise(0)
 
 
