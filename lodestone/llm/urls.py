@@ -6,7 +6,13 @@ the uniform one. A URL's score is the difference of the models' log-likelihoods
 calibration compares it with a threshold between the scores of the accepted and the rejected URLs of a fold kept out of training.
 
 Everything is counted and joined natively: windows of order + 1 characters are counted with map-side combination, and each
-order's table has one row for each distinct window, so a host with a third of all rows adds counts, not rows.
+order's table has one row for each distinct window, so a host with a third of all rows adds counts, not rows. Distinct URLs are
+written once, in as many parts as the session shuffles, and go beside their windows as a key of 128 bits. The table of windows, which
+grows with the alphabet rather than the corpus, is sent to all tasks where its counted rows are at most `small`, so that a URL's
+windows are scored in the task that made them; a larger one is joined by window, where the session's skew join splits "http:" and the like.
+
+A very long URL is judged whole, at a cost in proportion to its length. URLs of equal score get equal verdicts; one at the threshold is allowed.
+An empty table gives an empty result.
 
 A null URL, or one without "://", has an empty host and path and fits no rule; the method judges its characters as they are.
 URLs without any character are allowed, as is every URL where the rules decided none, or only one way, since nothing speaks
@@ -25,6 +31,7 @@ from lodestone.llm.shared import stage
 #: Fixed values of the contract: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 ORDER = 4
+SMALL = 1 << 20  # rows of the windows' table, of some 50 bytes each, up to which it is broadcast
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _EDGE = "\x02"
 
@@ -71,21 +78,30 @@ def model(counts: DataFrame, order: int = ORDER, strength: float = 1.0, alphabet
     return table.select(F.col("gram").alias("window"), F.round(F.log(F.col("pa") / F.col("pr")), 9).alias("llr"))
 
 
-def judge(pages: DataFrame, rules=RULES, order: int = ORDER, id: str = "page_id", url: str = "url") -> DataFrame:
+def key_of(url: Column) -> Column:
+    """128 bits that stand for a URL."""
+    return F.struct(F.xxhash64(F.lit(1), url).alias("a"), F.xxhash64(F.lit(2), url).alias("b"))
+
+
+def judge(pages: DataFrame, rules=RULES, order: int = ORDER, id: str = "page_id", url: str = "url", small: int = SMALL) -> DataFrame:
     """id, host, path, rule, verdict, score (null for URLs without characters)."""
     host, path = host_and_path(F.col("__url"))
     base = pages.select(F.col(id).alias("__id"), F.col(url).cast("string").alias("__url")).withColumns({"host": host, "path": path})
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "ruled": ruled}).withColumn("held", F.crc32(F.coalesce("__url", F.lit("")).cast("binary")) % 5 == 0)
+    base = base.withColumns({"rule": rule, "ruled": ruled, "__key": key_of(F.col("__url"))})
     # a URL stands for all rows that have it
-    urls = base.groupBy("__url", "ruled", "held").agg(F.count("*").alias("n"))
-    grams = urls.select("__url", "ruled", "held", "n", F.explode(windows(F.col("__url"), order)).alias("window"))
+    held = F.crc32(F.coalesce("__url", F.lit("")).cast("binary")) % 5 == 0
+    urls = base.groupBy("__url", "__key", "ruled").agg(F.count("*").alias("n")).withColumn("held", held)
+    # spread before the windows multiply the rows
+    urls = stage(urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "urls")
+    grams = urls.select("__key", "ruled", "held", "n", F.explode(windows(F.col("__url"), order)).alias("window"))
     learn = ~F.col("held")
     counts = grams.groupBy("window").agg(
         F.sum(F.when(learn & (F.col("ruled") == "allow"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(learn & (F.col("ruled") == "block"), F.col("n")).otherwise(0)).alias("r")
     )
     table = stage(model(stage(counts, "url-windows"), order), "url-model")
-    scores = grams.select("__url", "ruled", "n", "held", "window").join(table, "window").groupBy("__url", "ruled", "held", "n").agg(F.round(F.avg("llr"), 6).alias("score"))
+    table = table.hint("broadcast" if table.count() <= small else "merge")
+    scores = grams.join(table, "window").groupBy("__key", "ruled", "held", "n").agg(F.round(F.avg("llr"), 6).alias("score"))
     scores = stage(scores, "url-scores")
     fold = scores.where("held AND ruled IS NOT NULL")
     if fold.isEmpty():
@@ -97,8 +113,8 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, id: str = "page_id"
         threshold = (a["mean"] * b["dev"] + b["mean"] * a["dev"]) / spread if spread else (a["mean"] + b["mean"]) / 2
     else:
         threshold = -math.inf
-    scored = scores.select(F.col("__url").alias("__u"), F.col("score"))
-    out = base.join(scored, F.col("__url") == F.col("__u"), "left")
+    scored = scores.select(F.col("__key").alias("__scored"), "score")
+    out = base.join(scored, F.col("__key") == F.col("__scored"), "left")
     verdict = F.coalesce("ruled", F.when(F.col("score") < threshold, "block").otherwise("allow"))
     return out.select(F.col("__id").alias(id), "host", "path", "rule", verdict.alias("verdict"), "score")
 

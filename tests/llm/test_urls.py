@@ -65,3 +65,13 @@ def test_nothing_to_learn_from(spark):
     schema = "page_id long, url string"
     assert urls.judge(spark.createDataFrame([], schema)).collect() == []
     assert [r["verdict"] for r in urls.judge(spark.createDataFrame([(1, "http://x/")], schema)).collect()] == ["allow"]
+
+
+def test_same_result_joined_and_sent_and_long_urls(spark):
+    rows = [(i, f"http://{'good' if i % 2 else 'bad'}.{'net' if i % 2 else 'org'}/{'de' if i % 2 else 'es'}/{i}") for i in range(60)]
+    rows += [(200, "http://good.xyz/" + "de/" * 40_000), (201, "http://good.xyz/" + "de/" * 40_000), (202, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS n", "2 AS held", "3 AS __key", "4 AS score")
+    sent, joined = (sorted(tuple(r) for r in urls.judge(df, small=small).collect()) for small in (urls.SMALL, 0))
+    assert sent == joined and len(sent) == len(rows)
+    last = {r[0]: r for r in sent}
+    assert last[200][1:] == last[201][1:] and last[200][4] == "allow"
