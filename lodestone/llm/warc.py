@@ -9,7 +9,7 @@ to the first one beyond the range; across ranges, pointer jumping from the file'
 many rounds as the logarithm of the ranges of a file) finds where the chain of real records enters each range. Candidates that
 the chain does not reach are no records.
 
-Null payloads count as empty, null URLs are left out; very long URLs and payloads are written whole. Of rows that share the smallest
+Null payloads count as empty, null URLs are left out, an empty table gives no records; very long URLs and payloads are written whole. Of rows that share the smallest
 page_id of a payload all are responses. A file that does not begin with a record has none; a chain that breaks off ends
 there. Extra columns of the input are ignored. Archives compressed as a whole or by record (gzip) are read too; places then count unpacked bytes.
 """
@@ -29,24 +29,41 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import lean, shared_dir, stage
 
 LEAST = 100  # bytes of payload from which on equal payloads are stored once
+SMALL = 1 << 18  # repeated digests, of some 100 bytes each, up to which they are broadcast
 SPAN = 1 << 20
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n")
 _URN = "urn:lodestone:page:"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def plan(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> DataFrame:
-    """id, url, body (binary), digest, n (bytes), first: of equal payloads the smallest id, null where a payload is short or not repeated."""
+def plan(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, small: int = SMALL) -> tuple[DataFrame, int]:
+    """The rows (id, url, body, digest, n: bytes, first: of equal payloads the smallest id, null where a payload is short or
+    not repeated), and the mean bytes of a payload.
+
+    Digests alone are counted. Where the repeated ones, counted, are at most `small`, they are sent to all tasks and no payload is
+    shuffled. Beyond that those of more than a 4096th of all repeats, of which there are fewer than 4096, are sent, and the others
+    joined by digest; rows that need no partner are spread by id."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"digest": F.sha2("body", 256), "n": F.octet_length("body").cast("long")})
-    repeated = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").select("digest", "first")
-    return rows.join(repeated.hint("merge"), "digest", "left")
-
-
-def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, records_per_file: int = 8192) -> None:
-    """Write the rows as gzipped WARC files under path."""
-    rows = plan(pages, id, url, payload, least)
+    mean = int(rows.agg(F.avg("n")).first()[0] or 0)
+    repeated = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1")
+    repeated = stage(repeated, "warc-repeated")
+    facts = repeated.agg(F.count("*").alias("digests"), F.sum("times").alias("times")).first()
+    if facts["digests"] <= small:
+        return rows.join(F.broadcast(repeated.select("digest", "first")), "digest", "left"), mean
+    hot = F.col("times") * 4096 > facts["times"]
+    rows = rows.join(F.broadcast(repeated.where(hot).select("digest", F.col("first").alias("hot"))), "digest", "left")
+    key = F.when((F.col("n") >= least) & F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    cold = repeated.where(~hot).select(F.col("digest").alias("key"), "first")
+    rows = rows.withColumn("key", key).join(cold.hint("merge"), "key", "left")
+    return rows.withColumn("first", F.coalesce("hot", "first")).drop("key", "hot"), mean
+
+
+def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, records_per_file: int = 8192, bytes_per_file: int = 64 << 20, small: int = SMALL) -> None:
+    """Write the rows as gzipped WARC files under path, of at most records_per_file records, and fewer where bytes_per_file holds fewer of the mean payload."""
+    rows, mean = plan(pages, id, url, payload, least, small)
+    records_per_file = max(1, min(records_per_file, bytes_per_file // (mean + 1024)))
     revisit = F.col("first").isNotNull() & (F.col("first") != F.col("id"))
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20")
     line = lambda name, *value: F.concat(F.lit(name + ": "), *value, F.lit("\r\n"))

@@ -11,8 +11,9 @@ ROWS += [(1000, None, None), (1001, "", ""), (1002, "u", "x" * 99), (1003, "u",
 def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "1 AS id", "2 AS body", "3 AS first")
     warc.write(df, f"{tmp_path}/w", records_per_file=90)
-    for span in (1 << 12, 1 << 20):
-        got = warc.records(spark, f"{tmp_path}/w", span).collect()
+    warc.write(df, f"{tmp_path}/joined", bytes_per_file=1 << 18, small=0)
+    for name, span in (("w", 1 << 12), ("w", 1 << 20), ("joined", 1 << 20)):
+        got = warc.records(spark, f"{tmp_path}/{name}", span).collect()
         first = {}
         for i, _, h in ROWS:
             first[h] = min(i, first.get(h, i))
