@@ -8,7 +8,7 @@ start again after the last. A document is taken as often as the blocks that cove
 Every prefix sum is taken in two steps, within buckets of documents (or slots) and then over the buckets' totals, so a
 source that holds a third of all rows is still spread over all tasks. Null texts have size 0 and are never taken;
 a null source is a source of its own, last in order. Equal rows are told apart by their content's hash and doc_id only; rows
-that are alike in both get one another's place, which is harmless. Without documents, or with only empty ones, all targets are 0.
+that are alike in both get one another's place, which is harmless. Very long texts are cut over blocks like others; extra columns, whatever their names, take no part. Without documents, or with only empty ones, all targets are 0.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import documents, n_words, stage
+from lodestone.llm.shared import columns_free, documents, n_words, stage
 
 #: Golden-ratio step of the sequence: round(0.618... * 2**31), made odd.
 STEP, PERIOD = 1327217885, 1 << 31
@@ -93,9 +93,12 @@ def repeat(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Da
     plan = mix(docs, id=id, text=text, **how).groupBy(F.col(id).alias("__id"), "text_hash").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
     plan = stage(plan.select("__id", F.col("text_hash").alias("__h"), times.alias("__times")).where("__times > 0"), "mix-times")
-    kept = docs.select(*(F.col(c) for c in docs.columns), text_hash(F.col(id), F.col(text)).alias("__h2"))
-    joined = kept.join(plan.hint("merge"), (F.col("__h2") == F.col("__h")) & kept[id].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(kept[c] for c in docs.columns))
+    hashed, copy = columns_free(docs, "__h2", "__copy")
+    plan = plan.withColumnsRenamed(dict(zip(plan.columns, columns_free(docs, *plan.columns), strict=True)))
+    key, same, times = plan.columns
+    kept = docs.withColumn(hashed, text_hash(F.col(id), F.col(text)))
+    joined = kept.join(plan.hint("merge"), (F.col(hashed) == F.col(same)) & kept[id].eqNullSafe(F.col(key)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -13,7 +13,7 @@ precision of `precision`. All candidates are scored; of those above their kind's
 then the higher score, then the longer one. Candidates inside a base span add nothing.
 
 Null and empty texts have no spans. Repeated rows give repeated results; ties in start go by kind (email, ip, card, phone). Without
-candidates nothing is learned or added. redact() passes extra columns through.
+candidates, as in an empty table, nothing is learned or added. Very long texts are searched whole. redact() passes extra columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import documents
+from lodestone.llm.shared import columns_free, documents
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values of the contract, in a spelling without backtracking: possessive loops, and runs are entered at their first
@@ -313,23 +313,24 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", precision: floa
 def detect(docs: DataFrame, trees: Trees | None, text: str = "text", base: str = "pii_base", all: str = "pii_spans") -> DataFrame:
     """docs with two arrays of structs (start, order, kind, end): the base spans, and all spans."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__base", base_spans(whole))
+    (found_base,) = columns_free(docs, "__base")
+    out = docs.withColumn(found_base, base_spans(whole))
     place = lambda arr: F.transform(arr, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["kind"].alias("kind"), x["end"].alias("end")))
-    spans_ = place(F.col("__base"))
+    spans_ = place(F.col(found_base))
     if trees and any(math.isfinite(v) for v in trees.thresholds.values()):
 
         limit = lambda x: reduce(lambda c, k: F.when(x["order"] == k, trees.thresholds[k]).otherwise(c), [k for k, v in trees.thresholds.items() if math.isfinite(v)], F.lit(math.inf))
         # step by step, as an expression inside a lambda is evaluated wherever it is named
-        found = F.transform(proposals(whole, F.col("__base")), lambda x: F.struct(x.alias("x"), F.struct(*(v.cast("int").alias(k) for k, v in features(x).items())).alias("f")))
+        found = F.transform(proposals(whole, F.col(found_base)), lambda x: F.struct(x.alias("x"), F.struct(*(v.cast("int").alias(k) for k, v in features(x).items())).alias("f")))
         found = F.transform(found, lambda c: F.struct(c["x"].alias("x"), trees.expression({k: c["f"][k] for k in FEATURES}).alias("score")))
         found = F.filter(found, lambda c: c["score"] >= limit(c["x"]))
         # the best first: beside the base spans, by score, the longer ones
-        rank = lambda c: F.struct(touches(c["x"], F.col("__base")).alias("t"), (-F.round(c["score"], 9)).alias("s"), (c["x"]["start"] - c["x"]["end"]).alias("l"), *(c["x"][k].alias(k) for k in ("start", "order", "kind", "end")))
+        rank = lambda c: F.struct(touches(c["x"], F.col(found_base)).alias("t"), (-F.round(c["score"], 9)).alias("s"), (c["x"]["start"] - c["x"]["end"]).alias("l"), *(c["x"][k].alias(k) for k in ("start", "order", "kind", "end")))
         ranked = F.sort_array(F.transform(found, rank))
         none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
         kept = F.aggregate(place(ranked), none, lambda acc, x: F.when(touches(x, acc), acc).otherwise(F.concat(acc, F.array(x))))
         spans_ = F.sort_array(F.concat(spans_, kept))
-    return out.withColumns({all: spans_, base: place(F.col("__base"))}).drop("__base")
+    return out.withColumns({all: spans_, base: place(F.col(found_base))}).drop(found_base)
 
 
 def listed(arr: Column) -> Column:
@@ -339,7 +340,8 @@ def listed(arr: Column) -> Column:
 
 def redact(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are replaced together, under the first one's kind. Null stays null."""
-    found = detect(docs, trees, text, "__b", "__s")
+    first, every = columns_free(docs, "__first", "__every")
+    found = detect(docs, trees, text, first, every)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
@@ -349,7 +351,7 @@ def redact(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFram
     def whole(acc):
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
 
-    clean = F.when(F.size("__s") > 0, F.aggregate(F.col("__s"), zero, step, whole)).otherwise(F.col(text))
+    clean = F.when(F.size(every) > 0, F.aggregate(F.col(every), zero, step, whole)).otherwise(F.col(text))
     return found.withColumn(text, clean).select(*docs.columns)
 
 

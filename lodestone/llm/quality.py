@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import chunks, documents, lean, mix, small_batches, text_bytes, word_hashes, word_spans
+from lodestone.llm.shared import chunks, columns_free, documents, lean, mix, small_batches, text_bytes, word_hashes, word_spans
 
 BUCKETS, DIM, MAX_ROWS, EPOCHS = 1 << 17, 8, 4000, 12
 THRESHOLD = 0.3
@@ -131,6 +131,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """id, text, label of the texts to learn from: rows whose crc32 of the id is no multiple of five, at most max_rows labels in the order of a hash of the id."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     ids = ids.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows)
+    docs = docs.select("doc_id", "text")
     rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select(F.col("__id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("__label").alias("label"))
     # where ids repeat there may be more texts than labels: the first ones in a fixed order
     return rows.orderBy(F.xxhash64("id", "text"), "id", "label").limit(4 * max_rows)
@@ -151,7 +152,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())])
     small_batches(docs.sparkSession)
-    return docs.select(*kept, docs[text].alias("__text")).mapInArrow(lean(run), schema)
+    (body,) = columns_free(docs, "__text")
+    return docs.select(*kept, docs[text].alias(body)).mapInArrow(lean(run), schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:

@@ -69,3 +69,24 @@ def test_empty_tables(spark, tables, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{tables}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_and_empty_table(spark, tables):
+    names = ("__score", "__first", "__n", "__base", "__every", "__h", "__h2", "__id", "__times", "__copy", "__text", "score", "id", "label", "ids")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 40 OR doc_id >= 300 OR doc_id IS NULL")
+    docs = docs.selectExpr("*", *(f"'{c}' AS {c}" for c in names))
+    for some in (docs, docs.where("doc_id < 0")):
+        for _, function in P.STAGES[:-1]:
+            got = function(spark, some, tables)
+            assert got.columns == docs.columns
+            rows = got.collect()
+            assert all(r[c] == c for r in rows for c in names) and bool(rows) == (some is docs)
+        out = P.STAGES[-1][1](spark, some, tables)
+        assert out.count() == some.count()
+
+
+def test_run_equals_its_stages(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for _, function in P.STAGES:
+        docs = function(spark, docs, tables)
+    assert Counter(map(str, docs.collect())) == Counter(map(str, P.run(spark, tables).collect()))
