@@ -441,7 +441,7 @@ _TURN_WORDS = "list_filter({}, lambda w: length(w) >= 4 AND w NOT IN (" + ", ".j
 
 def _turns(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", F.col("text").alias("question"), F.left("text", F.lit(900)).alias("answer"), F.when(F.col("turn") % 3 == 0, F.lit("unknown")).otherwise((F.col("conv_id") % 9000 + 100).cast("string")).alias("law_number"))
+    return rows.select("conv_id", "turn", F.col("text").alias("question"), F.col("text").alias("answer"), F.when(F.col("turn") % 3 == 0, F.lit("unknown")).otherwise((F.col("conv_id") % 9000 + 100).cast("string")).alias("law_number"))
 
 
 @query(f"""
@@ -454,7 +454,7 @@ def follow_up(spark, sf_dir):
 
 
 @query(f"""
-WITH q AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE (conv_id % 9000 + 100)::VARCHAR END AS law, left({SQUEEZE.format("left(text, 900)")}, 700) AS said FROM conversations WHERE role = 'user'),
+WITH q AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE (conv_id % 9000 + 100)::VARCHAR END AS law, left({SQUEEZE.format("text")}, 700) AS said FROM conversations WHERE role = 'user'),
 m AS (SELECT conv_id, turn, list({{'q': text, 'l': law, 'a': said}}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS h FROM q)
 SELECT conv_id, turn, sha256(coalesce(array_to_string(list_transform(h, lambda s, i: 'Tur ' || i || ' | Konu: ' || s.q || chr(10) || 'Kanun: ' || s.l || chr(10) || 'Önceki cevap özeti: ' || s.a), chr(10) || chr(10)), '')) AS memory FROM m
 """)
@@ -462,12 +462,12 @@ def turn_memory(spark, sf_dir):
     return answers.follow_ups(_turns(spark, sf_dir)).select("conv_id", "turn", F.sha2(F.coalesce("memory", F.lit("")), 256).alias("memory"))
 
 
-_QUESTION = """CASE turn % 6 WHEN 0 THEN '5271/100 nedir' WHEN 1 THEN 'TCK hangi maddede ' || left(text, 40) WHEN 2 THEN left(text, 40) || ' arasındaki ilişki' WHEN 3 THEN 'usulsüzlük cezası ' || left(text, 40) WHEN 4 THEN 'yönetmelik değişikliği 4857 sayılı' ELSE left(text, 40) END"""
+_QUESTION = """CASE turn % 6 WHEN 0 THEN '5271/100 nedir' WHEN 1 THEN 'TCK hangi maddede ' || text WHEN 2 THEN text || ' arasındaki ilişki' WHEN 3 THEN 'usulsüzlük cezası ' || text WHEN 4 THEN 'yönetmelik değişikliği 4857 sayılı' ELSE text END"""
 
 
 def _questions(spark, sf_dir):
-    t, cut = F.col("turn"), F.left("text", F.lit(40))
-    said = F.when(t % 6 == 0, "5271/100 nedir").when(t % 6 == 1, F.concat(F.lit("TCK hangi maddede "), cut)).when(t % 6 == 2, F.concat(cut, F.lit(" arasındaki ilişki"))).when(t % 6 == 3, F.concat(F.lit("usulsüzlük cezası "), cut)).when(t % 6 == 4, "yönetmelik değişikliği 4857 sayılı").otherwise(cut)
+    t, whole = F.col("turn"), F.col("text")
+    said = F.when(t % 6 == 0, "5271/100 nedir").when(t % 6 == 1, F.concat(F.lit("TCK hangi maddede "), whole)).when(t % 6 == 2, F.concat(whole, F.lit(" arasındaki ilişki"))).when(t % 6 == 3, F.concat(F.lit("usulsüzlük cezası "), whole)).when(t % 6 == 4, "yönetmelik değişikliği 4857 sayılı").otherwise(whole)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("q"))
 
 
@@ -608,13 +608,13 @@ def page_decision(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", d.alias("decision"))
 
 
-def _states(spark, sf_dir, chars=None):
+def _states(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     words = ("izin talebi", "dava açma", "yol bozuk", "vergi borcu", "ağaç budama", "genel")
     said = F.get(F.array(*map(F.lit, words)), (F.col("doc_id") % 6).cast("int"))
     none = F.lit(None).cast("string")
     return d.select(
-        F.col("doc_id").alias("state_id"), F.concat_ws(" ", said, F.left("text", F.lit(chars)) if chars else F.col("text")).alias("document_text"), none.alias("summary"), said.alias("intent"), none.alias("requested_action"), said.alias("topic"), F.array(F.lit("yol onarımı")).alias("subtopics"),
+        F.col("doc_id").alias("state_id"), F.concat_ws(" ", said, "text").alias("document_text"), none.alias("summary"), said.alias("intent"), none.alias("requested_action"), said.alias("topic"), F.array(F.lit("yol onarımı")).alias("subtopics"),
         F.lit("Belediye").alias("institution"), none.alias("recipient"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("legal_references"), F.array().cast("array<map<string,string>>").alias("previous_correspondence"),
     )
 
@@ -632,13 +632,12 @@ def _phrase_sql(p: str) -> str:
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, lower(['izin talebi', 'dava açma', 'yol bozuk', 'vergi borcu', 'ağaç budama', 'genel'][doc_id % 6 + 1] || ' ' || left(text, 500)) AS x FROM documents),
+WITH s AS (SELECT doc_id, lower(['izin talebi', 'dava açma', 'yol bozuk', 'vergi borcu', 'ağaç budama', 'genel'][doc_id % 6 + 1] || ' ' || text) AS x FROM documents),
 w AS (SELECT doc_id, trim(x) AS x, list_filter(regexp_extract_all(x, '[a-zA-ZçğıöşüÇĞİÖŞÜ0-9]+'), lambda v: length(v) > 1 AND v NOT IN ({", ".join(f"'{v}'" for v in text.ROUTING_STOPWORDS)})) AS ws FROM s)
 {" UNION ALL ".join(f"SELECT doc_id, '{d.id}' AS department, round(({' + '.join(_phrase_sql(k) for k in d.keywords + d.topics)}) / {len(d.keywords + d.topics)}.0, 6) AS keyword FROM w" for d in routing.DEPARTMENTS)}
 """)
 def route_scores(spark, sf_dir):
-    # like its SQL, over the first 500 characters
-    s = _states(spark, sf_dir, 500).select(F.col("state_id").alias("doc_id"), F.lower(F.trim("document_text")).alias("x"), routing.routing_tokens(F.col("document_text")).alias("ws"))
+    s = _states(spark, sf_dir).select(F.col("state_id").alias("doc_id"), F.lower(F.trim("document_text")).alias("x"), routing.routing_tokens(F.col("document_text")).alias("ws"))
     each = F.array(*(F.struct(F.lit(d.id).alias("department"), F.round(routing.share(d.keywords + d.topics, F.col("x"), F.col("ws")), 6).alias("keyword")) for d in routing.DEPARTMENTS))
     return s.select("doc_id", F.explode(each).alias("d")).select("doc_id", "d.department", "d.keyword")
 
