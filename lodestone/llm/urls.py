@@ -31,7 +31,7 @@ from lodestone.llm.shared import stage
 #: Fixed values of the contract: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 ORDER = 4
-SMALL = 1 << 20  # rows of the windows' table, of some 50 bytes each, up to which it is broadcast
+SMALL = 1 << 19  # rows of the windows' table, of some 100 bytes each in memory, up to which it is broadcast
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _EDGE = "\x02"
 
