@@ -11,6 +11,7 @@ from lodestone.llm.quality import op4_quality
 from lodestone.llm.rules import op7_rules
 from lodestone.llm.substrings import op2_substrings
 from lodestone.llm.urls import op3_urls
+from lodestone.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_bpe": op9_bpe,
     "op10_mix": op10_mix,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLES: dict[str, str] = {
