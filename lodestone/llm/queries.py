@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm import jaccard, warc
+from lodestone.llm.alignment import op12_alignment
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.matroska import op5_matroska
 from lodestone.llm.mixing import op10_mix
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_mix": op10_mix,
     "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {
