@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import columns_free, documents, lean, small_batches, stage, text_bytes
+from lodestone.llm.shared import Grown, Numbers, Ragged, columns_free, documents, lean, small_batches, stage, text_bytes
 
 SECTION, CACHED, HOT = 1 << 19, 500_000, 1 << 19
 #: White space in UTF-8, other than inside a character; a segment does not begin with it.
@@ -135,53 +135,6 @@ def sections(text: bytes, most: int = SECTION) -> list[bytes]:
     return [*out, text[at:]]
 
 
-class _Numbers(dict):
-    """Numbers for segments in the order in which they are first asked for."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, segment: bytes) -> int:
-        self.new.append(segment)
-        self[segment] = n = len(self)
-        return n
-
-
-class Grown:
-    """An array that grows at its end."""
-
-    def __init__(self, kind):
-        self.array, self.n = np.zeros(1 << 16, kind), 0
-
-    def extend(self, new: np.ndarray) -> None:
-        size = self.n + len(new)
-        if size > len(self.array):
-            self.array = np.concatenate([self.array, np.zeros(max(size, 2 * len(self.array)) - len(self.array), self.array.dtype)])
-        self.array[self.n : size] = new
-        self.n = size
-
-
-class Ragged:
-    """Rows of numbers, one after the other."""
-
-    def __init__(self):
-        self.flat, self.starts = Grown(np.int32), Grown(np.int64)
-        self.starts.extend(np.zeros(1, np.int64))
-
-    def extend(self, rows: list[list[int]]) -> np.ndarray:
-        new = np.array([i for r in rows for i in r], np.int32)
-        self.starts.extend(self.flat.n + np.cumsum([len(r) for r in rows], dtype=np.int64))
-        self.flat.extend(new)
-        return new
-
-    def gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the given rows, one after the other, and where each row ends."""
-        starts = self.starts.array[rows]
-        sizes = self.starts.array[rows + 1] - starts
-        ends = np.cumsum(sizes)
-        return self.flat.array[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)], ends
-
-
 # ---------------------------------------------------------------- bitsets
 
 
@@ -225,7 +178,7 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.ids_a, self.ids_b, self.fine = _Numbers(), Ragged(), Ragged(), Grown(bool)
+        self.numbers, self.ids_a, self.ids_b, self.fine = Numbers(), Ragged(), Ragged(), Grown(bool)
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []

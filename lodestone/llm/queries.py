@@ -7,6 +7,7 @@ from lodestone.llm.alignment import op12_alignment
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.matroska import op5_matroska
 from lodestone.llm.mixing import op10_mix
+from lodestone.llm.packing import op13_packing
 from lodestone.llm.pii import op6_pii
 from lodestone.llm.quality import op4_quality
 from lodestone.llm.rules import op7_rules
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_mix": op10_mix,
     "op11_whitening": op11_whitening,
     "op12_alignment": op12_alignment,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
