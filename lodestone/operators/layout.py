@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import spatial
+
 FLOOR = 0.01
 ITEM = "struct<text:string,confidence:double,x0:double,y0:double,x1:double,y1:double>"
 _PARAGRAPH = re.compile(r"^\s*(?:\(\d+\)|[a-zçğıöşü]\)|\d+[.)]\s|(?:ek\s+|geçici\s+)?madde\s*\d+)", re.IGNORECASE)
@@ -97,6 +99,76 @@ def column_gap(each: DataFrame, page: str = "page") -> DataFrame:
     return after.where("n IS NOT NULL").groupBy(page).agg(F.max_by(F.struct((F.col("n") - F.col("c")).alias("gap"), ((F.col("n") + F.col("c")) / 2).alias("split")), F.struct(F.col("n") - F.col("c"), -F.col("c"))).alias("g")).select(page, "g.gap", "g.split")
 
 
+#: What counts as two columns, and as one line.
+SLIM, LEAST_WIDTH, LEAST_ITEMS, LEAST_GAP, LEAST_SIDE, LEAST_OVERLAP = 0.55, 80, 12, 0.14, 4, 0.45
+SAME_LINE, SAME_MIDDLE, LEAST_HEIGHT, PARAGRAPH_GAP, LEAST_PARAGRAPH_GAP = 0.5, 0.38, 8.0, 0.85, 10.0
+CLAUSE = r"^\s*(?:\(\d+\)|[a-zçğıöşü]\)|\d+[.)]\s|(?i:(?:ek\s+|geçici\s+)?madde\s*\d+))"
+
+
+def ordered(each: DataFrame, page: str = "page") -> DataFrame:
+    """Items (page, item, x0, y0, x1, y1 ...) as rows with band and place, both from 0 on, in reading order: two columns one after the other where a page has two, between the rows of
+    full width in their place; else from the top. Windows over a page's items, which the page bounds."""
+    whole = Window.partitionBy(page)
+    middle, slim = (F.col("x0") + F.col("x1")) / 2, F.col("x1") - F.col("x0") < SLIM * F.col("__width")
+    rows = each.withColumns({"__width": F.max("x1").over(whole), "__n": F.count("*").over(whole), "__most": F.max(F.greatest(*(F.abs(k) for k in ("x0", "y0", "x1", "y1")))).over(whole)}).withColumn("__slim", slim)
+    # the widest gap between neighbouring middles of slim items, the leftmost of equal ones
+    rows = rows.withColumn("__mid", F.when(F.col("__slim"), middle))
+    after = F.lead("__mid").over(Window.partitionBy(page, "__slim").orderBy("__mid"))
+    rows = rows.withColumn("__gap", F.when(F.col("__slim"), after - F.col("__mid")))
+    best = F.max(F.when(F.col("__gap").isNotNull(), F.struct(F.col("__gap").alias("gap"), (-F.col("__mid")).alias("left")))).over(whole)
+    rows = rows.withColumn("__best", best).withColumn("__right", F.col("__mid") >= (2 * -F.col("__best.left") + F.col("__best.gap")) / 2)
+    side = lambda f, on: f(F.when(F.col("__slim") & (F.col("__right") == on[0]), on[1])).over(whole)
+    for k, right in (("l", False), ("r", True)):
+        rows = rows.withColumns({f"__{k}n": side(F.count, (right, F.lit(1))), f"__{k}top": side(F.min, (right, F.col("y0"))), f"__{k}end": side(F.max, (right, F.col("y1")))})
+    least = F.least(F.col("__lend") - F.col("__ltop"), F.col("__rend") - F.col("__rtop"))
+    both = F.least("__lend", "__rend") - F.greatest("__ltop", "__rtop")
+    two = (F.col("__width") >= LEAST_WIDTH) & (F.col("__n") >= LEAST_ITEMS) & (F.col("__ln") + F.col("__rn") >= LEAST_ITEMS) & (F.col("__best.gap") >= LEAST_GAP * F.col("__width")) & (F.least("__ln", "__rn") >= LEAST_SIDE) & (least > 0) & (both >= LEAST_OVERLAP * least)
+    rows = rows.withColumn("__two", F.coalesce(two, F.lit(False)))
+    # rows of full width in their order; an item comes before the first of them whose middle is not above the item's end
+    full = ~F.col("__slim")
+    rows = rows.withColumn("__row", F.when(full, F.row_number().over(Window.partitionBy(page, "__slim").orderBy("y0", "item"))))
+    reach = F.max(F.when(full, (F.col("y0") + F.col("y1")) / 2)).over(Window.partitionBy(page, "__slim").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__at", F.when(full, reach).otherwise(F.col("y1")))
+    ahead = Window.partitionBy(page).orderBy("__at", F.when(full, 1).otherwise(0), "__row").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("__before", F.when(full, F.col("__row")).otherwise(F.coalesce(F.min("__row").over(ahead), F.lit(1 << 30))))
+    part = F.when(full, 2).when(F.col("__right"), 1).otherwise(0)
+    bare = F.col("__most") <= 1  # items without places stay as they come
+    key = F.when(bare | ~F.col("__two"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))).otherwise(F.struct(F.col("__before").alias("a"), part.alias("b")))
+    rows = rows.withColumns({"__key": key, "__y": F.when(bare, 0.0).otherwise(F.col("y0")), "__x": F.when(bare, 0.0).otherwise(F.col("x0"))})
+    rows = rows.withColumns({"band": F.dense_rank().over(Window.partitionBy(page).orderBy("__key")) - 1, "place": F.row_number().over(Window.partitionBy(page).orderBy("__key", "__y", "__x", "item")) - 1})
+    return rows.select(*each.columns, "band", "place")
+
+
+def lined(each: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
+    """Items as rows, with band, place and line: in each band from the top, an item begins a line unless it overlaps the item before it in height, its middle is near that one's, and
+    it lies beside it; a numbered clause always begins one. Items without text are left out."""
+    rows = ordered(each.where(F.trim(F.coalesce(text, F.lit(""))) != ""), page)
+    w = Window.partitionBy(page).orderBy("place")
+    before = {k: F.lag(k).over(w) for k in ("x0", "x1", "y0", "y1", "band")}
+    rows = rows.withColumns({f"__{k}": c for k, c in before.items()})
+    tall, other = F.greatest(F.lit(LEAST_HEIGHT), F.col("y1") - F.col("y0")), F.greatest(F.lit(LEAST_HEIGHT), F.col("__y1") - F.col("__y0"))
+    meets = F.least("y1", "__y1") - F.greatest("y0", "__y0") >= SAME_LINE * F.least(tall, other)
+    level = F.abs((F.col("y0") + F.col("y1")) / 2 - (F.col("__y0") + F.col("__y1")) / 2) <= SAME_MIDDLE * F.greatest(tall, other)
+    beside = F.least("x1", "__x1") - F.greatest("x0", "__x0") <= 0.3 * F.least(F.greatest(F.lit(1.0), F.col("x1") - F.col("x0")), F.greatest(F.lit(1.0), F.col("__x1") - F.col("__x0")))
+    same = (F.col("band") == F.col("__band")) & meets & level & beside & ~F.col(text).rlike(CLAUSE)
+    rows = rows.withColumn("line", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return rows.select(*each.columns, "band", "place", F.col("line").cast("int").alias("line"))
+
+
+def paragraph_rows(each: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
+    """page, paragraph (from 0 on), lines, text of the page's paragraphs: a new one begins in another band, after a gap wider than most of a line's
+    usual (median) height, or at a numbered clause. Lines by lag and running sums, no code of a page's own."""
+    words = F.transform(F.sort_array(F.collect_list(F.struct("x0", "place", text))), lambda x: x[text])
+    line = lined(each, page, text).groupBy(page, "line").agg(F.min("band").alias("band"), F.min("y0").alias("top"), F.max("y1").alias("end"), F.trim(F.regexp_replace(F.array_join(words, " "), r"\s+", " ")).alias("said"))
+    usual = F.greatest(F.lit(PARAGRAPH_GAP) * F.median(F.greatest(F.lit(LEAST_HEIGHT), F.col("end") - F.col("top"))).over(Window.partitionBy(page)), F.lit(LEAST_PARAGRAPH_GAP))
+    w = Window.partitionBy(page).orderBy("line")
+    rows = line.withColumns({"__usual": usual, "__end": F.lag("end").over(w), "__band": F.lag("band").over(w)})
+    new = F.col("__band").isNull() | (F.col("band") != F.col("__band")) | (F.col("top") - F.col("__end") >= F.col("__usual")) | F.col("said").rlike(CLAUSE)
+    rows = rows.withColumn("paragraph", (F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n")
+    return rows.groupBy(page, "paragraph").agg(F.count("*").alias("lines"), joined.alias("text"))
+
+
 def reading_order(found: list[dict]) -> list[list[dict]]:
     """The items of a page in bands: two columns one after the other where there are two, full-width rows in their place, else one band."""
     if not found or all(max(abs(i[k]) for k in ("x0", "y0", "x1", "y1")) <= 1 for i in found):
@@ -187,16 +259,11 @@ def page_text(pages: DataFrame, items_: str = "items") -> DataFrame:
     return pages.withColumn("text", join(F.col(items_).cast(f"array<{ITEM}>")))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return ~((a["x1"] < b["x0"]) | (b["x1"] < a["x0"]) | (a["y1"] < b["y0"]) | (b["y1"] < a["y0"]))
-
-
 def blocks(each: DataFrame, layout: DataFrame, page: str = "page") -> DataFrame:
     """page, block, item: every item (page, item, box) with the first layout element (page, block, box), from the top, that it overlaps;
-    block is null for items that are in none. An item is used once. Joined on the page, whose items and elements are few."""
-    met = each.select(page, "item", F.col("box").alias("ib")).join(layout.select(page, "block", F.col("box").alias("lb")), page, "left").withColumn("in", F.coalesce(overlaps(F.col("ib"), F.col("lb")), F.lit(False)))
-    w = Window.partitionBy(page, "item").orderBy(F.desc("in"), F.col("lb.y0"), F.col("lb.x0"), "block")
-    return met.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(page, F.when(F.col("in"), F.col("block")).alias("block"), "item")
+    block is null for items that are in none. An item is used once."""
+    elements = layout.select(page, "block", F.col("box").alias("around"), F.col("box.y0").alias("top"), F.col("box.x0").alias("side"))
+    return spatial.first_overlap(each, elements, [page], "item", "box", "block", "around", ["top", "side"]).select(page, "block", "item")
 
 
 def union_box(boxes: Column) -> Column:
