@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,9 +143,9 @@ def ranges(combinations: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray,
 
 # ---------------------------------------------------------------- encoding
 
-#: Words of letters that normalisation keeps apart from others, each at its length; and what the splitting pattern makes of them in lower case.
-_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Words (in UTF-8) of letters that normalisation keeps apart from others, each at its length; and what the splitting pattern makes of such words in lower case.
+_SIMPLE = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+| ")
 _BLANK = re.compile(rb"[\x09-\x0d\x20]")
 
 
@@ -152,41 +153,62 @@ class Words:
     """Ids of whole texts by their words between ASCII white space, which never influence each other under this tokenizer. Words are looked up by number; new ones
     are put together from parts in lower case, which the tokenizer encodes many at a time."""
 
-    def __init__(self, path: str, cached: int = 500_000, section: int = 1 << 20):
+    def __init__(self, path: str, cached: int = 1_000_000, section: int = 1 << 20):
         self.tok, self.cached, self.section = load(path), cached, section
         names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         self.last = np.array([n.endswith("</w>") for n in names])
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.parts: dict[str, list[int]] = {}
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self._forget()
+        self._forget_parts()
 
     def _forget(self) -> None:
         self.numbers, self.ids, self.weight = Numbers(), Ragged(), 0
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        for lo in range(0, len(parts), 4096):
-            some = parts[lo : lo + 4096]
-            ids = self.tok.encode(" ".join(some), add_special_tokens=False).ids
+    def _forget_parts(self) -> None:
+        """Part 0 is the blank between words, without ids."""
+        self.parts, self.part_ids = Numbers(), Ragged()
+        self.parts[" "] = 0
+        self.part_ids.extend([[]])
+
+    def _learn_parts(self) -> None:
+        new, self.parts.new = self.parts.new, []
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
-                cuts = [0, *ends.tolist()]
-                self.parts.update(zip(some, [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+                self.part_ids.append(ids, np.diff(ends, prepend=0))
             else:
-                self.parts.update(zip(some, [e.ids for e in self.tok.encode_batch(some, add_special_tokens=False)], strict=True))
+                self.part_ids.extend([e.ids for e in self.tok.encode_batch(some, add_special_tokens=False)])
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         for lo in range(0, len(new), 20_000):
-            some = [w.decode() for w in new[lo : lo + 20_000]]
-            self.weight += sum(map(len, some))
-            split: list[list[str] | None] = [_PARTS.findall(w.lower()) if _SIMPLE.fullmatch(w) and not any(s in w for s in self.special) else None for w in some]
-            if len(self.parts) > self.cached:
-                self.parts = {}
-            known = self.parts
-            self._learn_parts(list({p for parts in split if parts for p in parts} - known.keys()))
-            alone = [i for i, parts in enumerate(split) if parts is None]
-            got = dict(zip(alone, [e.ids for e in self.tok.encode_batch([some[i] for i in alone], add_special_tokens=False)], strict=True))
-            self.ids.extend([got[i] if parts is None else known[parts[0]] if len(parts) == 1 else [t for p in parts for t in known[p]] for i, parts in enumerate(split)])
+            some = new[lo : lo + 20_000]
+            joined = b" ".join(some)
+            self.weight += len(joined)
+            rare = any(s in joined for s in self.special)
+            alone = [i for i, w in enumerate(some) if not _SIMPLE.fullmatch(w) or rare and any(s in w for s in self.special)]
+            got = Ragged()
+            if len(alone) < len(some):
+                if alone:
+                    left = set(alone)
+                    joined = b" ".join(w for i, w in enumerate(some) if i not in left)
+                if len(self.parts) > self.cached:
+                    self._forget_parts()
+                marks = _PARTS.findall(joined.decode().lower())
+                rows = np.fromiter(map(self.parts.__getitem__, marks), np.int64, len(marks))
+                self._learn_parts()
+                ids, ends = self.part_ids.gathered(rows)
+                got.append(ids, np.diff(np.append(ends[rows == 0], len(ids)), prepend=0))
+            got.extend([e.ids for e in self.tok.encode_batch([some[i].decode() for i in alone], add_special_tokens=False)] if alone else [])
+            if alone:  # back in order
+                at = np.empty(len(some), np.int64)
+                at[np.setdiff1d(np.arange(len(some)), alone)], at[alone] = np.arange(len(some) - len(alone)), np.arange(len(some) - len(alone), len(some))
+                ids, ends = got.gathered(at)
+                self.ids.append(ids, np.diff(ends, prepend=0))
+            else:
+                self.ids.append(got.flat.array[: got.flat.n], np.diff(got.starts.array[: got.starts.n]))
 
     def _some(self, texts: list[bytes]) -> list[np.ndarray]:
         parts = [t.split() for t in texts]
@@ -222,6 +244,12 @@ class Words:
         return out + (self._some(waiting) if waiting else [])
 
 
+@lru_cache(maxsize=2)
+def known(path: str, **how) -> Words:
+    """The words that a worker has met, in all its tasks."""
+    return Words(path, **how)
+
+
 # ---------------------------------------------------------------- operators
 
 
@@ -234,7 +262,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     (body,) = columns_free(docs, "__text")
 
     def run(batches):
-        words, seen, task = Words(path, **how), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        words, seen, task = known(path, **how), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)

@@ -204,8 +204,11 @@ class Ragged:
         self.starts.extend(np.zeros(1, np.int64))
 
     def extend(self, rows: list[list[int]]) -> np.ndarray:
-        new = np.array([i for r in rows for i in r], np.int32)
-        self.starts.extend(self.flat.n + np.cumsum([len(r) for r in rows], dtype=np.int64))
+        return self.append(np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64))
+
+    def append(self, new: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rows of the given sizes, one after the other in `new`."""
+        self.starts.extend(self.flat.n + np.cumsum(sizes))
         self.flat.extend(new)
         return new
 
