@@ -106,6 +106,6 @@ SELECT user_id, island::BIGINT AS island, count(*) AS events, min(t) AS started,
 """)
 def event_islands(spark, sf_dir):
     """Runs of a user's events: a new one begins after a gap of more than three times the user's median gap."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros("ts").alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     rows = dealing.islands(e, ["user_id"], "t", "event_id", F.col("gap") > 3 * F.col("median_gap"))
     return rows.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("events"), F.min("t").alias("started"), F.max("t").alias("ended"))
