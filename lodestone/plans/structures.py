@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import dealing, layout, spatial, vectors
-from lodestone.plans.catalogue import _KNN, _vectors, query, table
+from lodestone.functions import text
+from lodestone.operators import dealing, dispatching, layout, lexical, passages, phrases, routing, vectors
+from lodestone.plans.catalogue import _KNN, ORACLES, _index, _states, _vectors, query, table
 
 # ---------------------------------------------------------------- vectors
 
@@ -27,6 +28,17 @@ def vector_index_recall(spark, sf_dir):
     return both.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("neighbours"), (F.count("there") >= 0.9 * F.count("*")).alias("found_nine_tenths"))
 
 
+# ---------------------------------------------------------------- postings
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_blocks(spark, sf_dir):
+    """The rows of bm25_topk from an index that opens only the blocks that can hold them."""
+    t, q = _index(spark, sf_dir)
+    got = lexical.Blocks.build(t).top(q, 5)
+    return got.select("query", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 # ---------------------------------------------------------------- pages
 
 
@@ -109,3 +121,100 @@ def event_islands(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     rows = dealing.islands(e, ["user_id"], "t", "event_id", F.col("gap") > 3 * F.col("median_gap"))
     return rows.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("events"), F.min("t").alias("started"), F.max("t").alias("ended"))
+
+
+# ---------------------------------------------------------------- phrases and departments
+
+
+@query("""
+WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda v: v <> '') AS ws FROM benchmark),
+p0 AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 2], ' ') AS p FROM w, range(1, 5000) t(i) WHERE i <= len(ws) - 2),
+p AS (SELECT DISTINCT p, list_distinct(list_filter(regexp_extract_all(p, '[a-zA-ZçğıöşüÇĞİÖŞÜ0-9]+'), lambda v: length(v) > 1 AND v NOT IN (""" + ", ".join(f"'{v}'" for v in text.ROUTING_STOPWORDS) + """))) AS own FROM p0),
+d AS (SELECT doc_id, lower(trim(coalesce(text, ''))) AS x FROM documents),
+t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(x, '[a-zA-ZçğıöşüÇĞİÖŞÜ0-9]+'))) AS word FROM d),
+u AS (SELECT p, len(own) AS n, unnest(own) AS word FROM p),
+m AS (SELECT doc_id, p FROM d JOIN p ON contains(x, p) UNION SELECT doc_id, p FROM (SELECT doc_id, p, any_value(n) AS n, count(*) AS hits FROM t JOIN u ON u.word = t.word GROUP BY doc_id, p) WHERE hits = n)
+SELECT doc_id, item_id, count(*) AS phrases FROM m JOIN p0 ON p0.p = m.p GROUP BY doc_id, item_id
+""")
+def phrase_dictionary(spark, sf_dir):
+    """How many of each benchmark item's phrases of three words every document has, as they are or word by word: a dictionary joined with texts."""
+    words = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda v: v != "")
+    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where(F.size("w") >= 3).select("item_id", F.explode(three).alias("p")).distinct()
+    hits = phrases.found(table(spark, sf_dir, "documents"), items, "doc_id", "text", "p")
+    return dealing.met(hits, items, ["p"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("phrases"))
+
+
+def _sql_list(values) -> str:
+    say = lambda p: "'" + p.replace("'", "''") + "'"
+    low = [p.replace("İ", "i").lower().strip() for p in values]
+    return "[" + ", ".join(f"{{'raw': {say(raw)}, 'p': {say(p)}, 'own': [{', '.join(say(w) for w in sorted(set(routing._split(p))))}]::VARCHAR[]}}" for raw, p in zip(values, low, strict=True)) + "]::STRUCT(raw VARCHAR, p VARCHAR, own VARCHAR[])[]"
+
+
+def _decisions_sql() -> str:
+    kb, stop = routing.KnowledgeBase(routing.DEPARTMENTS), text.ROUTING_STOPWORDS
+    offices = ", ".join(
+        f"({i}, '{d.name}', '{d.channel}', '{d.authority}', {_sql_list(d.keywords)}, {_sql_list(d.keywords + d.topics)}, {_sql_list(d.rules)}, {_sql_list(d.excluded)}, {kb.lengths[i]}, '{' '.join(routing._split(d.corpus()))}')" for i, d in enumerate(routing.DEPARTMENTS)
+    )
+    within = lambda text, ws: f"lambda e: e.p <> '' AND (contains({text}, e.p) OR (len(e.own) > 0 AND len(list_filter(e.own, lambda v: NOT list_contains({ws}, v))) = 0))"
+    share = lambda list_, text, ws: f"len(list_filter({list_}, {within(text, ws)})) / greatest(len({list_}), 1)"
+    words = lambda text: f"list_filter(regexp_extract_all(lower(replace({text}, 'İ', 'i')), '[a-zA-ZçğıöşüÇĞİÖŞÜ0-9]+'), lambda v: length(v) > 1 AND v NOT IN ({', '.join(repr(v) for v in stop)}))"
+    lows = lambda text: f"lower(trim(replace({text}, 'İ', 'i')))"
+    return f"""
+WITH o(place, name, channel, authority, keywords, quick, rules, excluded, length, corpus) AS (VALUES {offices}),
+s AS (SELECT doc_id, ['izin talebi', 'dava açma', 'yol bozuk', 'vergi borcu', 'ağaç budama', 'genel'][doc_id % 6 + 1] AS said, text FROM documents),
+a AS (SELECT doc_id, said, concat_ws(' ', said, text) AS document, concat_ws(' ', said, said, 'yol onarımı', concat_ws(' ', said, text)) AS analysis FROM s),
+b AS (SELECT doc_id, name, {share('quick', lows('analysis'), words('analysis'))} AS score, place FROM a, o),
+n AS (SELECT doc_id, arg_max(CASE WHEN score > 0 THEN name END, (score, -place)) AS main FROM b WHERE score > 0 GROUP BY doc_id),
+c AS (SELECT arg_max(name, (score, -place)) AS other FROM (SELECT name, place, {share('quick', "'yol onarımı'", "['yol', 'onarımı']")} AS score FROM o)),
+i AS (SELECT doc_id, said, document, 'primary' AS label, analysis AS focus, said AS topic FROM a
+  UNION ALL SELECT a.doc_id, said, document, 'secondary:yol onarımı', 'yol onarımı', 'yol onarımı' FROM a LEFT JOIN n ON n.doc_id = a.doc_id, c WHERE main IS NULL OR main <> other),
+x AS (SELECT *, {lows('focus')} AS low, {words('focus')} AS ws, {lows("focus || ' ' || topic")} AS hay, {words("focus || ' ' || topic")} AS hws FROM i),
+w AS (SELECT place, unnest(string_split(corpus, ' ')) AS term FROM o),
+f AS (SELECT place, term, count(*) AS f FROM w GROUP BY place, term),
+q AS (SELECT term, ln(1 + ({len(routing.DEPARTMENTS)} - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f GROUP BY term),
+g AS (SELECT f.place, f.term, f, idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * length / (SELECT avg(length) FROM o))) AS gain, sqrt(sum(f * f) OVER (PARTITION BY f.place)) AS norm FROM f JOIN q ON q.term = f.term JOIN o ON o.place = f.place),
+t AS (SELECT doc_id, label, term, count(*) AS tf FROM (SELECT doc_id, label, unnest(ws) AS term FROM x) GROUP BY ALL),
+h AS (SELECT doc_id, label, sum(coalesce(idf, ln(1 + ({len(routing.DEPARTMENTS)} + 0.5) / 0.5))) AS cap, sqrt(sum(tf * tf)) AS norm FROM t LEFT JOIN q ON q.term = t.term GROUP BY doc_id, label),
+k AS (SELECT t.doc_id, t.label, place, sum(tf * gain) AS raw, sum(tf * f) / any_value(norm) AS dot FROM t JOIN g ON g.term = t.term GROUP BY t.doc_id, t.label, place),
+e AS (SELECT x.doc_id, x.label, o.place, name, channel, said, document, {share('quick', 'low', 'ws')} AS keyword, {share('rules', 'hay', 'hws')} AS rule, coalesce(least(1.0, greatest(0.0, raw / greatest(cap, 1e-6))), 0.0) AS bm25, coalesce(dot / h.norm, 0.0) AS semantic,
+    len(list_filter(excluded, {within('hay', 'hws')})) > 0 AS rejected, {share('keywords', 'said', 'string_split(said, chr(32))')} AS mine
+  FROM x CROSS JOIN o LEFT JOIN h ON h.doc_id = x.doc_id AND h.label = x.label LEFT JOIN k ON k.doc_id = x.doc_id AND k.label = x.label AND k.place = o.place),
+l AS (SELECT *, 0.5 * keyword + 0.5 * bm25 AS first, (0.25 * rule + 0.15 * keyword + 0.2 * bm25 + 0.25 * semantic + 0.15 / 3) * CASE WHEN rejected THEN 0.1 ELSE 1 END AS total, max(CASE WHEN name = 'Hukuk Müşavirliği' THEN mine END) OVER (PARTITION BY doc_id, label) AS lawyers FROM e),
+p AS (SELECT * FROM l QUALIFY first >= 0.02 OR max(first) OVER (PARTITION BY doc_id, label) < 0.02),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY rejected, total DESC, first DESC, place) AS nth FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY first DESC, place) <= 5),
+v AS (SELECT doc_id, label, count(*) FILTER (NOT rejected) >= 2 AND max(total) FILTER (nth = 1) - max(total) FILTER (nth = 2) < 0.06 AS ambiguous FROM r GROUP BY doc_id, label),
+z AS (SELECT r.*, ambiguous, name <> 'Hukuk Müşavirliği' AND lawyers >= 0.34 AND lawyers > mine + 0.15 AS conflict,
+    (keyword > 0.05)::INT + (rule > 0.05)::INT + (bm25 > 0.05)::INT + (semantic > 0.05)::INT + 1 AS lit FROM r JOIN v ON v.doc_id = r.doc_id AND v.label = r.label WHERE nth = 1),
+y AS (SELECT *, greatest(0.0, least(1.0, total + least(0.10, 0.015 * lit) - 0.18 * conflict::INT - 0.10 * ambiguous::INT - 0.09)) AS score FROM z)
+SELECT doc_id AS state_id, label, CASE WHEN conflict THEN 'CONFLICT_DETECTED' WHEN ambiguous THEN 'AMBIGUOUS' WHEN label <> 'primary' THEN 'MULTI_ROUTE' ELSE 'SINGLE_ROUTE' END AS status, name AS department,
+  CASE WHEN channel = 'LEGAL' THEN 'LEGAL' WHEN regexp_matches(lower(document || ' ' || said), 'acil|ivedi|urgent') THEN 'URGENT' ELSE 'STANDARD' END AS channel, round(total, 6) AS total,
+  CASE WHEN score >= 0.72 AND NOT conflict AND NOT ambiguous THEN 'HIGH' WHEN score >= 0.48 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, conflict OR ambiguous OR score < 0.48 AS needs_human_review FROM y
+"""
+
+
+ORACLES["route_documents"] = _decisions_sql()
+
+
+@query(_decisions_sql())
+def route_by_table(spark, sf_dir):
+    """Every document routed, by joins with a table of departments."""
+    got = dispatching.route(_states(spark, sf_dir), dispatching.table(spark, routing.DEPARTMENTS))
+    return got.select("state_id", "label", "status", "department", "channel", F.round("total", 6).alias("total"), "confidence", "needs_human_review")
+
+
+_PLAIN = "regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', '', 'g')"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_PLAIN} AS x, list_filter(list_transform(string_split(text, ''), lambda c, i: CASE WHEN c IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) THEN NULL ELSE i - 1 END), lambda v: v IS NOT NULL) AS pos FROM documents),
+p AS (SELECT item_id, {_PLAIN} AS y FROM benchmark),
+o AS (SELECT doc_id, item_id, instr(x, y) AS k, x, y FROM d, p WHERE y <> '' AND contains(x, y)
+  UNION ALL SELECT doc_id, item_id, k + instr(substr(x, k + 1), y), x, y FROM o WHERE contains(substr(x, k + 1), y))
+SELECT o.doc_id, item_id, pos[k] AS "start", pos[k + length(y) - 1] + 1 AS "end" FROM o JOIN d ON d.doc_id = o.doc_id
+""")
+def passage_places(spark, sf_dir):
+    """Every place of a benchmark passage in a document, in characters of its text, whatever the white space."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    got = passages.located(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage"), "text"), docs)
+    return got.select(F.col("doc").alias("doc_id"), F.col("passage").alias("item_id"), "start", "end")

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,19 @@ def test_contexts(spark):
     chunks = spark.createDataFrame([(i, t, "213", str(i), "laws") for i, t in DOCS], "chunk_id long, text string, law_number string, article_no string, source_type string")
     got = {r["query"]: r for r in retrieval.contexts(retrieval.Index(chunks), spark.createDataFrame([(1, "yol onarımı"), (2, "hiç yok")], "query long, text string"), 2).collect()}
     assert got[1]["count"] == 1 and got[1]["sources"][0]["article_number"] == "3" and (got[2]["context"], got[2]["count"]) == ("", 0)
+
+
+@pytest.mark.parametrize("variant", ["plus1", "okapi"])
+def test_blocks_give_the_best_of_all_postings(spark, variant):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randint(0, 60)))) for i in range(300)] + [(300 + i, "w7 w8 w9") for i in range(40)]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randint(1, 6)))) for i in range(20)] + [(50, "nowhere"), (51, ""), (52, "w0 w0 w59"), (53, docs[5][1])]
+    t, q = lexical.indexed(spark.createDataFrame(docs, "id long, text string"), "id", "text"), spark.createDataFrame(queries, "query long, text string")
+    index = lexical.Blocks.build(t, 4, variant)
+    for k in (1, 7):
+        want = {(r["query"], r["doc"], r["rank"], r["score"]) for r in lexical.top(lexical.scores(q, t, variant), k).select("query", "doc", "rank", "score").collect()}
+        assert {(r["query"], r["doc"], r["rank"], r["score"]) for r in index.top(q, k).select("query", "doc", "rank", "score").collect()} == want
+    if variant == "plus1":
+        every, opened = index.share(q, 1)
+        assert opened < every / 2
