@@ -7,7 +7,8 @@ lacings, and Cues, and gives a packet table with timestamps, tracks and byte ran
 
 Null texts count as empty. An empty text's payload is one frame of blanks. Equal texts give equal files. Damaged
 files raise ValueError in parse(); packets() turns that into a row with an error and no packets, so one bad file does not end the
-job. Extra columns pass through, unless they have the name of a result, which replaces them.
+job. Extra columns pass through, unless they have the name of a result, which replaces them; helper columns take names that no column has. Repeated rows
+are repeated, so there are no ties to settle. A very long text is one file, made and parsed in one task, in memory of some times its size. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import documents, lean, small_batches
+from lodestone.llm.shared import columns_free, documents, lean, small_batches
 
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -288,7 +289,8 @@ def media_column(docs: DataFrame, text: str = "text", media: str = "media", n_by
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array([g[1] for g in got], pa.int64()), pa.array([write(g[0]) for g in got], pa.binary())], names=[*kept, n_bytes, media])
 
     small_batches(docs.sparkSession)
-    return docs.select(*kept, docs[text].alias("__text")).mapInArrow(lean(run), schema)
+    (body,) = columns_free(docs, "__text")
+    return docs.select(*kept, docs[text].alias(body)).mapInArrow(lean(run), schema)
 
 
 PACKETS = "array<struct<track:int,timestamp_ns:bigint,start:bigint,size:bigint,keyframe:boolean,lacing:int>>"
@@ -316,7 +318,8 @@ def packets(files: DataFrame, media: str = "media") -> DataFrame:
                         errors.append(str(e))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(tables, kind), pa.array(errors, pa.string())], names=[*kept, "packets", "error"])
 
-    return files.select(*kept, files[media].alias("__media")).mapInArrow(lean(run), schema)
+    (body,) = columns_free(files, "__media")
+    return files.select(*kept, files[media].alias(body)).mapInArrow(lean(run), schema)
 
 
 def digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

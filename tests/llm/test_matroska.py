@@ -62,3 +62,11 @@ def test_frames(spark):
     bad = spark.createDataFrame([(1, None), (2, b"nonsense")], "id int, media binary")
     assert all(r["error"] and r["packets"] == [] for r in M.packets(bad).collect())
     assert M.digest(df.limit(0)).count() == 0 and M.packets(files.limit(0)).count() == 0
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "a", "mine"), (1, "a", "mine"), (2, "long " * 200_000, None)], "doc_id long, text string, __text string")
+    files = M.media_column(df).withColumnRenamed("__text", "__media")
+    assert files.count() == 3
+    got = {r["doc_id"]: r for r in M.packets(files).collect()}
+    assert got[1]["__media"] == "mine" and sum(p["size"] for p in got[2]["packets"]) == len(M.padded("long " * 200_000)[0])
