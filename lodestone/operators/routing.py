@@ -61,7 +61,9 @@ def phrase(p: str, text: Column, words: Column) -> Column:
         return F.lit(False)
     own = sorted(set(_split(p)))
     inside = text.contains(p)
-    return inside | (F.size(F.array_except(F.array(*map(F.lit, own)), words)) == 0) if own else inside
+    if not own or own == [p]:  # a text with that word contains it
+        return inside
+    return inside | reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in own])
 
 
 def share(phrases, text: Column, words: Column) -> Column:

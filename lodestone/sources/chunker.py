@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -89,11 +90,13 @@ def articles(text: str, options: Options = Options()) -> list[Article]:
         cuts = [(0, None, "legal_document")]
     elif cuts[0][0] > 0:
         cuts.insert(0, (0, None, "preamble"))
+    marks = [(m.end(), int(m[1])) for m in PAGE.finditer(text)]
+    ends = [end for end, _ in marks]
     out = []
     for (start, number, kind), end in zip(cuts, [c[0] for c in cuts[1:]] + [len(text)], strict=True):
         if body := text[start:end].strip():
-            marks = PAGE.findall(text[:start])
-            out.append(Article(number, kind, body, start, int(marks[-1]) if marks else None))
+            before = bisect_right(ends, start)
+            out.append(Article(number, kind, body, start, marks[before - 1][1] if before else None))
     return out
 
 

@@ -28,9 +28,7 @@ def apply(table: ChunkTable, batch: DataFrame, options: chunker.Options = chunke
     """Put a batch of submissions in the table: a document's earlier chunks go, its new ones come. Doing it twice changes nothing."""
     docs = latest(batch)
     made = chunker.enriched(chunker.split(docs, options))
-    old = table.read()
-    kept = None if old is None else old.join(docs.select("document_id"), "document_id", "left_anti")
-    return table.replace(made if kept is None else kept.unionByName(made, allowMissingColumns=True))
+    return table.change(made, lambda old: old.join(docs.select("document_id"), "document_id", "left_semi"))
 
 
 def sync(stream: DataFrame, table: ChunkTable, checkpoint: str, options: chunker.Options = chunker.Options(), trigger: dict | None = None):

@@ -170,6 +170,30 @@ def test_office(spark):
     assert got["a.docx"] == (0, "Bir\na | b", None) and all(got[n][2] for n in ("b.docx", "c.xyz", "d.docx"))
 
 
+def test_changes_leave_other_buckets_alone(spark, tmp_path):
+    table = sinks.ChunkTable(spark, f"{tmp_path}/t", 8)
+    rows = lambda *r: spark.createDataFrame(list(r), "chunk_id string, source_file string, text string")
+    files = lambda: {p: p.read_bytes() for p in (tmp_path / "t").rglob("*.parquet") if "_current" not in str(p)}
+    whole = lambda: sorted(tuple(r[c] for c in ("chunk_id", "source_file", "text")) for r in table.read().collect())
+    first = [(f"{s}{i}", f"s{s}", "old") for s in range(20) for i in range(3)]
+    table.upsert(rows(*first))
+    before = files()
+    live = {p.bucket: p.name for p in table._pointers()}
+    assert table.upsert(rows(("30", "s3", "new"), ("30", "s3", "newer"), ("999", "s3", "more"))) == 2
+    after = files()
+    assert before.items() <= after.items() and len({p.parent for p in after.keys() - before.keys()}) == 1
+    assert sum(live[p.bucket] != p.name for p in table._pointers()) == 1
+    want = sorted([r for r in first if r[0] != "30"] + [("30", "s3", next(r[2] for r in whole() if r[0] == "30")), ("999", "s3", "more")])
+    assert whole() == want
+    table.upsert(rows(("50", "elsewhere", "moved")))  # a chunk that changes its source leaves the old bucket
+    assert [r for r in whole() if r[0] == "50"] == [("50", "elsewhere", "moved")]
+    assert table.delete(F.col("source_file") == "nowhere") == 3 and table.delete_sources(spark.createDataFrame([("s1",), ("s2",)], "source_file string")) == 4
+    assert not [r for r in whole() if r[1] in ("s1", "s2")] and table.count() == 61 - 6
+    table.delete(F.lit(True))
+    assert table.count() == 0 and table.read().columns == ["chunk_id", "source_file", "text"]
+    assert sinks.ChunkTable(spark, f"{tmp_path}/t", 3).buckets == 8 and table.upsert(rows(("1", "a", "x"))) == 6 and table.count() == 1
+
+
 def test_table_and_stream(spark, tmp_path):
     table = sinks.ChunkTable(spark, f"{tmp_path}/t")
     rows = lambda *r: spark.createDataFrame(list(r), "chunk_id string, source_file string, text string")
