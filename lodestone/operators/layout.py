@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -273,6 +274,26 @@ def union_box(boxes: Column) -> Column:
     return F.when(F.greatest(*(F.abs(made[k]) for k in ("x0", "y0", "x1", "y1"))) > 1, made)
 
 
+def overlap(a: str, b: str, least: int = 1) -> int:
+    """The most characters, `least` or more, that end a and begin b; 0 where there are none. Ends and beginnings of all lengths are compared by hashes at once, and
+    those that agree character by character."""
+    n = min(len(a), len(b))
+    if n < least:
+        return 0
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1) for t in (a[-n:], b[:n]))
+    powers = np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers)])
+    ends = run[-1] - run[:-1]  # the last n - i characters of a, by powers from i on
+    starts = np.cumsum(y * powers)[::-1]  # the first n - i of b, by powers from 0 on
+    shift = np.concatenate([np.ones(1, np.uint64), powers[:-1]])
+    for i in np.flatnonzero(ends == starts * shift).tolist():
+        if n - i < least:
+            break
+        if a[-(n - i) :] == b[: n - i]:
+            return n - i
+    return 0
+
+
 def merged_text(ocr: str, vision: str, least: float = 0.5) -> str:
     """One text of a recognised page and a vision model's reading of it: the longer one where the other begins or ends it, a
     stitched one where the end of the first is the start of the second, marks restored from the model, else the recognised one."""
@@ -287,11 +308,9 @@ def merged_text(ocr: str, vision: str, least: float = 0.5) -> str:
         return vision
     if a.startswith(b) or a.endswith(b):
         return ocr
-    for n in range(min(len(a), len(b)), 11, -1):
-        if a[-n:] == b[:n]:
-            return ocr + vision[n:]
-        if b[-n:] == a[:n]:
-            return vision + ocr[n:]
+    after, before = overlap(a, b, 12), overlap(b, a, 12)
+    if after or before:
+        return ocr + vision[after:] if after >= before else vision + ocr[before:]
     words = set(a.split())
     shared = len(words & set(b.split())) / max(1, len(words))
     return vision if shared >= least and len(vision) > len(ocr) else ocr

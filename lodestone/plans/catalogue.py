@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import extract, jsonfix, text
+from lodestone.functions import extract, text
 from lodestone.operators import answers, fusion, layout, lawgraph, lexical, metrics, querying, retrieval, routing, vectors, workflow
 from lodestone.sources import chunker, corpus
 
@@ -657,25 +657,3 @@ def chunk_articles(spark, sf_dir):
 def html_text(spark, sf_dir):
     plain = text.squeeze(F.regexp_replace("html", "<[^>]+>", " "))
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1))).cast("long").alias("links"), F.length(plain).cast("long").alias("chars"))
-
-
-@query()
-def json_repair(spark, sf_dir):
-    """Fixture answers of models, read as labels."""
-    rows = [(1, '{"document_type": "rapor", "confidence": 0.8}'), (2, '```json\n{"document_type": "form", "confidence": 1.7}\n```'), (3, 'Here: {"document_type": "letter", "confidence": 0.5} ok'), (4, "broken {")]
-    got = spark.createDataFrame(rows, "id int, raw string").select("id", jsonfix.label(F.col("raw")).alias("l"))
-    return got.select("id", "l.document_type", "l.confidence")
-
-
-@query()
-def reading_order(spark, sf_dir):
-    """A fixture page of two columns as text."""
-    items = [(f"left {i}", 0.9, 10.0, 20.0 * i, 180.0, 20.0 * i + 12) for i in range(1, 9)] + [(f"right {i}", 0.9, 320.0, 20.0 * i, 490.0, 20.0 * i + 12) for i in range(1, 9)] + [("Title", 0.9, 10.0, 0.0, 490.0, 12.0)]
-    return layout.page_text(spark.createDataFrame([(1, items)], f"page int, items array<{layout.ITEM}>")).select("page", "text")
-
-
-@query()
-def table_cells(spark, sf_dir):
-    """A fixture table as cells and as a grid."""
-    df = spark.createDataFrame([(1, "<table><tr><th>a</th><th>b <b>c</b></th></tr><tr><td>1</td></tr></table>")], "id int, html string")
-    return df.select("id", text.table_cells(F.col("html")).alias("cells")).select("id", F.size("cells").alias("n"), F.to_json(text.table_grid(F.col("cells"))).alias("grid"))

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import extract
-from lodestone.operators import answers, layout, lawgraph, retrieval
-from lodestone.plans.catalogue import ORACLES, SCORES, SQUEEZE, _scored, _top, query, table
+from lodestone.functions import extract, jsonfix, text
+from lodestone.operators import answers, dealing, layout, lawgraph, retrieval
+from lodestone.plans.catalogue import ORACLES, SCORES, SQUEEZE, STRIP, _scored, _top, query, table
 from lodestone.plans.structures import _ITEMS, _page_items
 from lodestone.sources import sinks
 from lodestone.sources.scratch import folder
@@ -163,3 +163,60 @@ def stream_memory(spark, sf_dir):
     turns = rows.select("conv_id", "turn", F.col("text").alias("question"), F.col("text").alias("answer"), law.alias("law_number"))
     got = memory.remembered_table(spark, turns, f"{folder(spark)}/memory-{uuid.uuid4().hex}")
     return got.select("conv_id", "turn", F.sha2("memory", 256).alias("memory"))
+
+
+_CLASSES = "[" + ", ".join(f"'{c}'" for c in jsonfix.CLASSES) + "]"
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 5 > 2 THEN NULL WHEN doc_id % 7 = 0 THEN '{jsonfix.UNCERTAIN}' ELSE {_CLASSES}[n_chars % {len(jsonfix.CLASSES)} + 1] END AS document_type, CASE WHEN doc_id % 5 <= 2 THEN least(1.0::DOUBLE, (n_chars % 200) / 100.0) END AS confidence FROM documents
+""")
+def json_repair(spark, sf_dir):
+    """A label for each document as models write them, plain, fenced, within prose, broken or cut off, read again."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    kind = F.when(i % 7 == 0, F.col("source")).otherwise(F.get(F.array(*map(F.lit, jsonfix.CLASSES)), (n % len(jsonfix.CLASSES)).cast("int")))
+    said = F.concat(F.lit('{"document_type": "'), F.coalesce(kind, F.lit("?")), F.lit('", "confidence": '), (n % 200).cast("string"), F.lit("e-2}"))
+    raw = F.when(i % 5 == 0, said).when(i % 5 == 1, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).when(i % 5 == 2, F.concat(F.lit("Of "), F.coalesce("lang", F.lit("?")), F.lit(": "), said, F.lit(" so"))).when(i % 5 == 3, "broken {").otherwise(F.left(said, F.length(said) - 1))
+    got = table(spark, sf_dir, "documents").select("doc_id", jsonfix.label(raw).alias("l"))
+    return got.select("doc_id", "l.document_type", "l.confidence")
+
+
+@query()
+def reading_order(spark, sf_dir):
+    """Pages of items as text, whole pages in a worker; reading_order_rows and page_paragraphs are the same by windows."""
+    item = F.struct("item", "text", F.lit(1.0).alias("confidence"), "x0", "y0", "x1", "y1")
+    pages = _page_items(spark, sf_dir).groupBy("page").agg(F.sort_array(F.collect_list(item)).alias("items"))  # a page has 64 items
+    return layout.page_text(pages.withColumn("items", F.transform("items", lambda x: x.dropFields("item")))).select("page", "text")
+
+
+@query("""
+WITH r AS (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: len(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1))) AS n FROM pages)
+SELECT page_id, coalesce(list_sum(n), 0)::BIGINT AS cells, coalesce(list_max(list_transform(n, lambda c, i: CASE WHEN c > 0 THEN i ELSE 0 END)), 0)::BIGINT AS grid_rows, coalesce(list_max(n), 0)::BIGINT AS grid_columns FROM r
+""")
+def table_cells(spark, sf_dir):
+    """The cells of a page's tables, and the grid that they fill."""
+    cells = table(spark, sf_dir, "pages").select("page_id", text.table_cells(F.col("html")).alias("c"))
+    grid = cells.select("page_id", F.size("c").cast("long").alias("cells"), text.table_grid(F.col("c")).alias("g"))
+    return grid.select("page_id", "cells", F.size("g").cast("long").alias("grid_rows"), F.coalesce(F.size(F.get("g", F.lit(0))), F.lit(0)).cast("long").alias("grid_columns"))
+
+
+_FOLDED = "lower(translate({}, 'çğıöşüÇĞİÖŞÜ', 'cgiosuCGIOSU'))"
+
+
+@query(f"""
+WITH n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS later FROM conversations),
+r AS (SELECT conv_id, turn, {STRIP.format("text")} AS o, {STRIP.format("CASE turn % 4 WHEN 0 THEN right(text, 40) || later WHEN 1 THEN later || left(text, 25) WHEN 2 THEN translate(text, 'aeiou', 'AEIOU') ELSE later END")} AS v FROM n WHERE later IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT *, {_FOLDED.format('o')} AS a, {_FOLDED.format('v')} AS b FROM r),
+k AS (SELECT *, coalesce(list_max(list_filter(range(12, least(length(a), length(b)) + 1), lambda i: right(a, i) = left(b, i))), 0) AS x, coalesce(list_max(list_filter(range(12, least(length(a), length(b)) + 1), lambda i: right(b, i) = left(a, i))), 0) AS y,
+  list_distinct(string_split_regex(a, '[ \\t\\n\\x0b\\f\\r]+')) AS ws, list_distinct(string_split_regex(b, '[ \\t\\n\\x0b\\f\\r]+')) AS vs FROM p)
+SELECT conv_id, turn, sha256(CASE WHEN o = '' OR v = '' THEN o || v WHEN a = b OR starts_with(b, a) OR ends_with(b, a) THEN v WHEN starts_with(a, b) OR ends_with(a, b) THEN o WHEN x > 0 AND x >= y THEN o || substr(v, x + 1) WHEN y > 0 THEN v || substr(o, y + 1)
+  WHEN len(list_intersect(ws, vs)) / len(ws) >= 0.5 AND length(v) > length(o) THEN v ELSE o END) AS merged FROM k
+""")
+def merged_turns(spark, sf_dir):
+    """Neighbouring turns as two readings of a page, stitched where the end of one begins the other."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = dealing.shifted(dealing.ranged(rows, ["conv_id"], ["turn"]), ["conv_id"], ["turn"], {"later": "text"}, ahead=True).where("later IS NOT NULL AND text IS NOT NULL")
+    t = F.col("turn") % 4
+    seen = F.when(t == 0, F.concat(F.right("text", F.lit(40)), "later")).when(t == 1, F.concat("later", F.left("text", F.lit(25)))).when(t == 2, F.translate("text", "aeiou", "AEIOU")).otherwise(F.col("later"))
+    got = layout.merged(rows.withColumn("vision", seen))
+    return got.select("conv_id", "turn", F.sha2("merged", 256).alias("merged"))

@@ -166,3 +166,13 @@ def test_paragraph_rows(spark):
     df = spark.createDataFrame(rows, "page long, item long, text string, x0 double, y0 double, x1 double, y1 double")
     got = [tuple(r) for r in layout.paragraph_rows(df).orderBy("page", "paragraph").collect()]
     assert got == [(1, 0, 1, "Title"), (1, 1, 2, "a b c\nd"), (1, 2, 1, "(2) e"), (1, 3, 1, "f")]
+
+
+def test_overlap_equals_every_length():
+    rng = random.Random(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abİ日") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        b = a[rng.randint(0, 25) :] + b if rng.random() < 0.6 else b
+        least = rng.choice([1, 3])
+        assert layout.overlap(a, b, least) == max((n for n in range(least, min(len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
+    assert layout.overlap("x" * 200_000, "x" * 150_000 + "y") == 150_000

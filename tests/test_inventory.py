@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestone.plans import catalogue, inventory, structures
+from lodestone.plans import catalogue, features, inventory, structures
 
 SF = os.environ.get("INVENTORY_SF_DIR", "/root/testdata/sf0.001")
-NAMES = sorted(n for n, f in catalogue.QUERIES.items() if f.__module__ in (inventory.__name__, structures.__name__) and n in catalogue.ORACLES)
+NAMES = sorted(n for n, f in catalogue.QUERIES.items() if f.__module__ in (inventory.__name__, structures.__name__, features.__name__) and n in catalogue.ORACLES)
 
 
 @pytest.fixture(scope="module")
