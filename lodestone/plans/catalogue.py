@@ -301,7 +301,7 @@ def hit_mrr(spark, sf_dir):
 
 def _two_lists(spark, sf_dir):
     t, q = _index(spark, sf_dir)
-    return [lexical.top(lexical.scores(q, t, v), 20) for v in ("plus1", "okapi")], q
+    return [lexical.best(q, t, 20, v) for v in ("plus1", "okapi")], q
 
 
 _LISTS = f"WITH {SCORES} {_scored('s1', 'idf')}, {_scored('s2', 'okapi')}, {_top('l1', 's1', 20)}, {_top('l2', 's2', 20)}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators import lexical, sparse
+from lodestone.plans import catalogue
 
 ODD = ["", None, "İIıi ŞşĞğ ÇçÖöÜü", "ȧb", "KK ẞß ÿŸ ×÷", "“q” — dash…", "日本 x", "a\x00b", "_empty_", "é" * 3, "😀x", "".join(map(chr, range(1, 0x250)))]
 
@@ -63,3 +64,9 @@ def test_search_makes_no_pairs(spark, monkeypatch):
     want = lexical.top(lexical.scores(asked, t, "okapi"), 5).where("score > 0").count()
     pairless(spark, monkeypatch)
     assert lexical.search(asked, t, 5, variant="okapi").count() == want
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid"])
+def test_queries_make_no_pairs(spark, monkeypatch, name):
+    pairless(spark, monkeypatch)
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
