@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import fold, normal, repeats_itself, squeeze, token_estimate, tokens, without_repeats
 from lodestone.operators import querying, vectors
+from lodestone.sources.scratch import cut
 
 CACHE_VERSION = 9
 ABSTAINED = r"\b(saglanan\s+kaynaklarda\s+(?:bu\s+soruyu\s+)?dogrulanamadi|dogrulanamiyor|yeterli\s+(?:hukuki\s+)?(?:bilgi|pasaj|kaynak)\s+(?:bulunamadi|yok)|guvenilir\s+bir\s+(?:bilgi|yonlendirme)\s+veremem)\b"
@@ -42,12 +43,15 @@ def packed(hits: DataFrame, chunks: DataFrame, budget: int = 2700, longest: int
     have = set(chunks.columns)
     col = lambda name, kind="string", default=None: (F.col(name).cast(kind) if name in have else F.lit(default).cast(kind))
     file = F.coalesce(col("source_file"), F.lit("unknown"))
+    # only the texts of hits are worked on; written, the hits have a size that Spark can choose its join by
+    hits = cut(hits.select("query", "doc", "score"), "hits")
+    chunks = chunks.join(hits.select(F.col("doc").alias("chunk_id")), "chunk_id", "left_semi")
     meta = chunks.select(
         F.col("chunk_id").alias("doc"), scoped_text(F.coalesce("text", F.lit("")), col("article_no")).alias("text"), F.lower(squeeze(F.coalesce("text", F.lit("")))).alias("key"),
         F.coalesce(col("law_name"), F.regexp_replace(F.replace(file, F.lit(".pdf"), F.lit("")), "_", " ")).alias("law_name"), F.coalesce(col("law_number"), F.lit("unknown")).alias("law_number"),
         F.coalesce(col("article_no"), F.lit("unknown")).alias("article_number"), file.alias("source_file"), col("page_start", "int").alias("page_start"),
     )
-    rows = hits.select("query", "doc", "score").join(meta, "doc").where("key <> ''")
+    rows = hits.join(meta, "doc").where("key <> ''")
     w = Window.partitionBy("query", F.sha2("key", 256)).orderBy(F.desc("score"), "doc")
     rows = rows.withColumn("nth", F.row_number().over(w)).where("nth = 1")
     item = F.struct((-F.col("score")).alias("order"), "doc", "text", "law_name", "law_number", "article_number", "source_file", "page_start", "score")

@@ -375,7 +375,7 @@ def context_pack(spark, sf_dir):
     t, q = _index(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("law_name"), F.col("source").alias("law_number"), F.col("doc_id").cast("string").alias("article_no"))
-    got = answers.packed(lexical.top(lexical.scores(q, t), 10), chunks, 1200)
+    got = answers.packed(lexical.best(q, t, 10), chunks, 1200)
     return got.select("query", *(c.cast("long").alias(n) for n, c in (("used", F.col("used")), ("n_sources", F.size("sources")), ("dropped", F.col("dropped")))))
 
 
