@@ -66,7 +66,7 @@ def test_search_makes_no_pairs(spark, monkeypatch):
     assert lexical.search(asked, t, 5, variant="okapi").count() == want
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid", "variant_fusion", "context_pack"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "variant_fusion", "context_pack", "hybrid_vector"])
 def test_queries_make_no_pairs(spark, monkeypatch, name):
     pairless(spark, monkeypatch)
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
