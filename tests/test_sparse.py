@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.operators import lexical, sparse
+from lodestone.operators import fusion, lexical, sparse
 from lodestone.plans import catalogue
 
 ODD = ["", None, "İIıi ŞşĞğ ÇçÖöÜü", "ȧb", "KK ẞß ÿŸ ×÷", "“q” — dash…", "日本 x", "a\x00b", "_empty_", "é" * 3, "😀x", "".join(map(chr, range(1, 0x250)))]
@@ -66,7 +66,16 @@ def test_search_makes_no_pairs(spark, monkeypatch):
     assert lexical.search(asked, t, 5, variant="okapi").count() == want
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid", "variant_fusion", "context_pack", "hybrid_vector"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "variant_fusion", "context_pack", "hybrid_vector", "retrieve_batch"])
 def test_queries_make_no_pairs(spark, monkeypatch, name):
     pairless(spark, monkeypatch)
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_only_texts_of_hits_are_hashed(spark):
+    texts = spark.createDataFrame([(i, f"t {i % 3}") for i in range(50)], "doc long, text string")
+    hits = spark.createDataFrame([(1, 3, 1, 0.9), (1, 6, 2, 0.8), (1, 4, 3, 0.1)], "query long, doc long, rank int, score double")
+    got = fusion.distinct_texts(hits, texts.select("doc", "text"))
+    assert [(r["doc"], r["rank"]) for r in got.orderBy("rank").collect()] == [(3, 1), (4, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("sha2") < plan.index("LeftSemi")  # the hash stands above the semi join
