@@ -66,6 +66,22 @@ def test_search_makes_no_pairs(spark, monkeypatch):
     assert lexical.search(asked, t, 5, variant="okapi").count() == want
 
 
+def test_blocks_make_no_row_for_each_posting(spark, monkeypatch):
+    docs, asked = made(spark, n=100)
+    t = lexical.indexed(docs, "id", "text")
+    want = {(r["query"], r["doc"], r["rank"], r["score"]) for r in lexical.top(lexical.scores(asked, t), 3).select("query", "doc", "rank", "score").collect()}
+
+    def postings(*a, **k):
+        raise AssertionError("a row for each posting")
+
+    monkeypatch.setattr(lexical, "postings", postings)
+    monkeypatch.setattr(sparse, "BYTES", 300)  # blocks in several parts
+    index = lexical.Blocks.build(t, 4)
+    assert {(r["query"], r["doc"], r["rank"], r["score"]) for r in index.top(asked, 3).collect()} == want and len(want) > 50
+    rows = index.blocks.collect()
+    assert len({r["block"] for r in rows}) == len(rows) < 100 and sorted(d for r in rows for d in r["docs"]) == list(range(100))
+
+
 @pytest.mark.parametrize("name", ["rrf_hybrid", "variant_fusion", "context_pack", "hybrid_vector", "retrieve_batch"])
 def test_queries_make_no_pairs(spark, monkeypatch, name):
     pairless(spark, monkeypatch)
