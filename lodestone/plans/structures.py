@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import dealing, dispatching, layout, lexical, passages, phrases, routing, vectors
 from lodestone.plans.catalogue import _KNN, ORACLES, _index, _states, _vectors, query, table
+from lodestone.sources.scratch import cut
 
 # ---------------------------------------------------------------- vectors
 
@@ -142,7 +143,8 @@ def phrase_dictionary(spark, sf_dir):
     three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
     items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where(F.size("w") >= 3).select("item_id", F.explode(three).alias("p")).distinct()
     hits = phrases.found(table(spark, sf_dir, "documents"), items, "doc_id", "text", "p")
-    return dealing.met(hits, items, ["p"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("phrases"))
+    # written, the items have a size that Spark can choose its join by
+    return hits.join(cut(items, "items"), "p").groupBy("doc_id", "item_id").agg(F.count("*").alias("phrases"))
 
 
 def _sql_list(values) -> str:
