@@ -7,20 +7,23 @@ departments in one narrow pass: no join, no shuffle.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import routing_tokens
+from lodestone.functions.text import ROUTING_STOPWORDS, ROUTING_TOKEN, routing_tokens
 
 # The signals' weights and the thresholds of decisions.
 WEIGHTS = {"rule": 0.20, "keyword": 0.10, "bm25": 0.15, "semantic": 0.20, "metadata": 0.10, "legal": 0.10, "entity": 0.10, "llm": 0.05}
 EXCLUDED, MARGIN, FLOOR, CANDIDATES, INTENTS, ALTERNATIVES = 0.1, 0.06, 0.02, 5, 3, 2
 HIGH, MEDIUM, PER_CONFLICT, PER_AMBIGUITY, PER_MISSING = 0.72, 0.48, 0.18, 0.10, 0.03
 K1, B = 1.5, 0.75
+_TOKEN, _STOP = re.compile(ROUTING_TOKEN), frozenset(ROUTING_STOPWORDS)
 
 
 @dataclass(frozen=True)
@@ -47,11 +50,11 @@ class Department:
 
 def _split(text: str) -> list[str]:
     """The words of a department's own texts, as routing_tokens() cuts them."""
-    import re
+    return [w for w in _TOKEN.findall(_plain(text)) if len(w) > 1 and w not in _STOP]
 
-    from lodestone.functions.text import ROUTING_STOPWORDS, ROUTING_TOKEN
 
-    return [w for w in re.findall(ROUTING_TOKEN, text.replace("İ", "i").lower()) if len(w) > 1 and w not in ROUTING_STOPWORDS]
+def _plain(text: str) -> str:
+    return text.replace("İ", "i").lower()
 
 
 def phrase(p: str, text: Column, words: Column) -> Column:
@@ -90,11 +93,30 @@ class KnowledgeBase:
     def vocabulary(self) -> list[str]:
         return sorted(self.idf)
 
+    def digested(self, text: Column) -> Column:
+        """struct(low, words, different, norm): what the departments' phrases and words are looked for in, instead of the text and its words. low has those phrases of the departments that are in
+        the text, a line for each, so it contains the same of them; words has those of its words that any department has, in order, with repeats; different and norm are of all its words."""
+        phrases = sorted({_plain(p).strip() for d in self.departments for p in d.keywords + d.topics + d.responsibilities + d.rules + d.excluded} - {""})
+        known = set(self.idf) | {w for p in phrases for w in _split(p)}
+
+        @F.pandas_udf("low string, words array<string>, different int, norm double")
+        def digest(texts: pd.Series) -> pd.DataFrame:
+            out = []
+            for t in texts:
+                low, words = _plain(t or ""), _split(t or "")
+                counts = Counter(words)
+                out.append(("\n".join(p for p in phrases if p in low), [w for w in words if w in known], len(counts), math.sqrt(sum(c * c for c in counts.values()))))
+            return pd.DataFrame(out, columns=["low", "words", "different", "norm"])
+
+        return digest(text)
+
     def prepared(self, rows: DataFrame) -> DataFrame:
-        """rows with __words as what the scores need: the words that any department has, the number of different words, and the length
+        """rows with __words as what the scores need: the words that any department has, and, unless they are there, the number of different words and the length
         of the vector of word counts."""
         none = F.array().cast("array<string>")
         known = F.filter("__words", lambda w: w.isin(*self.vocabulary)) if self.idf else none
+        if "__norm" in rows.columns:
+            return rows.withColumn("__hits", known)
         zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
 
         def step(acc, w):  # c equal words in a row add 1 + 3 + ... = c squared
@@ -144,7 +166,7 @@ def intents(states: DataFrame, kb: KnowledgeBase) -> DataFrame:
     whole = F.struct(F.lit("primary").alias("label"), F.col("analysis").alias("focus"), F.col("topic").alias("focus_topic"))
     # words are cut once, in a step of their own, and not once for every phrase
     own = F.transform(F.coalesce("subtopics", F.array().cast("array<string>")), lambda s: F.struct(s.alias("s"), _low(s).alias("l"), routing_tokens(s).alias("w")))
-    base = states.withColumns({"__low": _low(F.col("analysis")), "__words": routing_tokens(F.col("analysis")), "__subs": own})
+    base = states.withColumns({"__d": kb.digested(F.col("analysis")), "__subs": own}).withColumns({"__low": F.col("__d.low"), "__words": F.col("__d.words")})
     base = base.withColumn("__main", quick(F.col("__low"), F.col("__words")))
     subs = F.transform("__subs", lambda x: F.struct(x["s"].alias("s"), quick(x["l"], x["w"]).alias("d")))
     other = F.slice(F.filter(subs, lambda x: x["d"].isNotNull() & (F.col("__main").isNull() | (x["d"] != F.col("__main")))), 1, INTENTS - 1)
@@ -197,7 +219,11 @@ def candidates(intent: DataFrame, kb: KnowledgeBase, llm=None) -> DataFrame:
     departments that a cheap first score prefers (those at FLOOR or above, or all if none is). The first use of costly scores is after that cut only in meaning: all are
     expressions over the same row."""
     both = F.concat_ws(" ", F.nullif(F.col("focus"), F.lit("")), F.nullif(F.col("focus_topic"), F.lit("")))
-    rows = intent.withColumns({"__low": _low(F.col("focus")), "__words": routing_tokens(F.col("focus")), "__haylow": _low(both), "__hay": routing_tokens(both)})
+    if llm in (None, heuristic):
+        rows = intent.withColumns({"__d": kb.digested(F.col("focus")), "__e": kb.digested(both)})
+        rows = rows.withColumns({"__low": F.col("__d.low"), "__words": F.col("__d.words"), "__different": F.col("__d.different"), "__norm": F.col("__d.norm"), "__haylow": F.col("__e.low"), "__hay": F.col("__e.words")}).drop("__d", "__e")
+    else:  # a model gets the whole text
+        rows = intent.withColumns({"__low": _low(F.col("focus")), "__words": routing_tokens(F.col("focus")), "__haylow": _low(both), "__hay": routing_tokens(both)})
     names = list(WEIGHTS)
     rows = kb.prepared(rows)
     rows = rows.withColumn("__s", F.array(*(F.struct(*(c.cast("double").alias(k) for k, c in signals(kb, i, llm(kb.departments[i]) if llm else None).items())) for i in range(len(kb.departments)))))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.operators import fusion, lexical, sparse
+from lodestone.operators import fusion, lexical, routing, sparse
 from lodestone.plans import catalogue
 
 ODD = ["", None, "İIıi ŞşĞğ ÇçÖöÜü", "ȧb", "KK ẞß ÿŸ ×÷", "“q” — dash…", "日本 x", "a\x00b", "_empty_", "é" * 3, "😀x", "".join(map(chr, range(1, 0x250)))]
@@ -95,3 +95,15 @@ def test_only_texts_of_hits_are_hashed(spark):
     assert [(r["doc"], r["rank"]) for r in got.orderBy("rank").collect()] == [(3, 1), (4, 2)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.index("sha2") < plan.index("LeftSemi")  # the hash stands above the semi join
+
+
+def test_digests_of_texts_hold_what_departments_look_for(spark):
+    kb = routing.KnowledgeBase(routing.DEPARTMENTS)
+    texts = ["İzin talebi, DAVA açma", "izinsiz yol onarımları yolu", None, "", "ağaç budama ağaç\nbudama park", "x " * 50 + "yıllık izin", "mahkeme kararı idari dava icra dava dava"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumns({"low": routing._low(F.col("t")), "words": routing.routing_tokens(F.col("t")), "d": kb.digested(F.col("t"))})
+    every = sorted({p for d in kb.departments for p in d.keywords + d.topics + d.responsibilities + d.rules + d.excluded})
+    for whole, digest in df.select(*(F.array(*(routing.phrase(p, F.col(a), F.col(b)) for p in every)) for a, b in (("low", "words"), ("d.low", "d.words")))).collect():
+        assert whole == digest
+    hits = F.filter("words", lambda w: w.isin(*kb.vocabulary))
+    for r in df.select(hits.alias("a"), F.filter("d.words", lambda w: w.isin(*kb.vocabulary)).alias("b"), F.size(F.array_distinct("words")).alias("n"), "d.different").collect():
+        assert r["a"] == r["b"] and r["n"] == r["different"]
